@@ -65,3 +65,17 @@ def clashing(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession, value):
+    """A function that gives value on executors. Broadcasts know only installed modules, so classes go by value."""
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        import pickle
+
+        return pickle.loads(sent.value)
+
+    return get

@@ -3,18 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from plumbline.llm import setsketch_dedup
+from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup
 from plumbline.llm.common import table
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_sentencepiece_lattice": op1_sentencepiece_lattice,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_quality": op8_quality,
     "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.SQL,
+}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup
+from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup, topk
 from plumbline.llm.common import table
 
 
@@ -22,6 +23,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,10 +38,12 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece_lattice": op1_sentencepiece_lattice,
     "op4_decontaminate": op4_decontaminate,
+    "op6_topk": op6_topk,
     "op8_quality": op8_quality,
     "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 
 ORACLE_SQL = {
     "op4_decontaminate": decontaminate.SQL,
+    "op6_topk": topk.SQL,
 }

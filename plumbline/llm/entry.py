@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup, topk
+from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup, topk, warc
 from plumbline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,7 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece_lattice": op1_sentencepiece_lattice,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op6_topk": op6_topk,
     "op8_quality": op8_quality,
@@ -44,6 +49,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op6_topk": topk.SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup, topk, warc
+from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup, token_files, topk, warc
 from plumbline.llm.common import table
 
 
@@ -27,6 +27,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -43,6 +53,7 @@ QUERIES = {
     "op1_sentencepiece_lattice": op1_sentencepiece_lattice,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_files": op5_token_files,
     "op6_topk": op6_topk,
     "op8_quality": op8_quality,
     "op10_setsketch_dedup": op10_setsketch_dedup,

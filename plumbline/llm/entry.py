@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, sentencepiece_lattice, setsketch_dedup, token_files, topk, warc
+from plumbline.llm import decontaminate, html_extract, quality, sentencepiece_lattice, setsketch_dedup, token_files, topk, warc
 from plumbline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece_lattice": op1_sentencepiece_lattice,
+    "op2_html_extract": op2_html_extract,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_files": op5_token_files,

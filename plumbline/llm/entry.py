@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_extract, quality, sentencepiece_lattice, setsketch_dedup, token_files, topk, warc
+from plumbline.llm import chat_transcripts, decontaminate, html_extract, license_scan, quality, sentencepiece_lattice, setsketch_dedup, token_files, topk, warc
 from plumbline.llm.common import table
 
 
@@ -45,10 +45,18 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_transcripts.format_turns(table(spark, sf_dir, "conversations"))
+
+
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,9 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_files": op5_token_files,
     "op6_topk": op6_topk,
+    "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
+    "op9_chat_transcripts": op9_chat_transcripts,
     "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 
@@ -68,4 +78,6 @@ ORACLE_SQL = {
     "op3_warc": warc.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op6_topk": topk.SQL,
+    "op7_license_scan": license_scan.sql(),
+    "op9_chat_transcripts": chat_transcripts.SQL,
 }

@@ -11,11 +11,26 @@ NAMESPACE, VERSION = "q02a", "v1"
 _OFFSET, _PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, 2**64 - 1
 
 
+#: Statements of a corpus share most of their texts; digests and canonical clauses are kept, up to this many of each.
+KEPT = 50_000
+_digests: dict[str, str] = {}
+_clauses: dict[str, str] = {}
+
+
+def _kept(memo: dict, key: str, value: str) -> str:
+    if len(memo) >= KEPT:
+        memo.clear()
+    memo[key] = value
+    return value
+
+
 def fnv(text: str) -> str:
+    if text in _digests:
+        return _digests[text]
     h = _OFFSET
-    for c in text:
-        h = (h ^ ord(c)) * _PRIME & _MASK
-    return f"{h:016x}"
+    for c in map(ord, text):
+        h = (h ^ c) * _PRIME & _MASK
+    return _kept(_digests, text, f"{h:016x}")
 
 
 def utf16_order(value):
@@ -31,7 +46,10 @@ def digest(value) -> str:
 
 def clause_text(value: str | None) -> str:
     """A clause with words in lower case and canonical spacing."""
-    return squeeze(text_of([t._replace(value=t.normalized) for t in lex(value)]))
+    value = value or ""
+    if value in _clauses:
+        return _clauses[value]
+    return _kept(_clauses, value, squeeze(text_of([t._replace(value=t.normalized) for t in lex(value)])))
 
 
 def stable_id(kind: str, signature: dict) -> str:

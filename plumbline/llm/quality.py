@@ -174,8 +174,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs predicted 1; columns are unchanged. The texts are read twice and never shuffled."""
-    labelled = docs.join(clashing(labels, ["doc_id", "quality"]).select(F.col("doc_id").cast("long").alias("_id")).distinct(), docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    model = fit(measure(labelled), labels)
+    model = fit(measure(docs), labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

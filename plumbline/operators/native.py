@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dialects import DIALECTS
 from plumbline.functions.rules import PREDICATE_RULES, WEIGHTS
+from plumbline.sources.shared import cut
 
 # dialects -------------------------------------------------------------------------------------------------------------
 
@@ -141,12 +142,17 @@ def raw_lines(statements: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFrame:
     """query_id, node, distance of the nodes within depth edges of seeds(query_id, node), the limit nearest of each
-    statement; edges(query_id, from_id, to_id) count both ways. One join a step, on (query_id, node)."""
-    both = edges.select("query_id", F.col("from_id").alias("node"), F.col("to_id").alias("next")).unionByName(edges.select("query_id", F.col("to_id").alias("node"), F.col("from_id").alias("next"))).distinct()
-    reached = seeds.select("query_id", "node").distinct().withColumn("distance", F.lit(0))
+    statement; edges(query_id, from_id, to_id) count both ways. One join a step, on (query_id, node), from a table that
+    the step before wrote; it ends when a step reaches nothing new."""
+    both = edges.select("query_id", F.col("from_id").alias("node"), F.col("to_id").alias("next")).unionByName(edges.select("query_id", F.col("to_id").alias("node"), F.col("from_id").alias("next")))
+    both = cut(both.distinct(), "neighbours")
+    reached = cut(seeds.select("query_id", "node").distinct().withColumn("distance", F.lit(0)), "reached")
     for step in range(1, depth + 1):
-        edge = reached.where(F.col("distance") == step - 1).join(both, ["query_id", "node"]).select("query_id", F.col("next").alias("node"), F.lit(step).alias("distance"))
-        reached = reached.unionByName(edge).groupBy("query_id", "node").agg(F.min("distance").alias("distance"))
+        edge = reached.where(F.col("distance") == step - 1).join(both, ["query_id", "node"]).select("query_id", F.col("next").alias("node")).distinct()
+        fresh = edge.join(reached, ["query_id", "node"], "left_anti").withColumn("distance", F.lit(step))
+        reached = cut(reached.unionByName(fresh), "reached")
+        if not reached.where(F.col("distance") == step).limit(1).count():
+            break
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node"))
     return reached.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import demo
 from plumbline.functions.dialects import DIALECTS
-from plumbline.operators import native
+from plumbline.operators import native, views
 from plumbline.operators.sections import SECTIONS, section
 from plumbline.sources.corpora import EXPECTED, NATIONS, ORDERS, generated
 
@@ -108,7 +108,44 @@ def lens(spark, sf_dir):
     return native.lens(section(s, "formatted"), section(s, "lineage_nodes"))
 
 
+def _lineage(spark, sf_dir):
+    """Nodes and edges of the corpus under their legacy ids, which are the same for all statements of a template."""
+    s = generated(spark, sf_dir, "orders")
+    nodes = section(s, "lineage_nodes").withColumn("node_id", F.col("legacy_id"))
+    edges = section(s, "lineage_edges").select("query_id", F.col("from_legacy").alias("from_id"), F.col("to_legacy").alias("to_id"))
+    return s, nodes, edges
+
+
+def edge_risks(spark, sf_dir):
+    _, nodes, edges = _lineage(spark, sf_dir)
+    return views.edge_risks(edges, nodes)
+
+
+def lineage_layout(spark, sf_dir):
+    return views.layout(_lineage(spark, sf_dir)[1])
+
+
+def related_nodes(spark, sf_dir):
+    _, nodes, edges = _lineage(spark, sf_dir)
+    return views.related(edges, nodes.where("kind = 'projection'").select("query_id", F.col("node_id").alias("node")))
+
+
+def decision_focus(spark, sf_dir):
+    s, nodes, edges = _lineage(spark, sf_dir)
+    return views.focus("decision", nodes, edges, section(s, "findings"))
+
+
+def navigator(spark, sf_dir):
+    s = generated(spark, sf_dir, "nations")
+    return views.navigator(*[section(s, n) for n in ("findings", "metrics", "sources", "actions")])
+
+
 QUERIES: dict[str, Query] = {
+    "edge_risks": edge_risks,
+    "lineage_layout": lineage_layout,
+    "related_nodes": related_nodes,
+    "decision_focus": decision_focus,
+    "review_navigator": navigator,
     "risk_report": risk_report,
     "rule_scores": scored,
     "predicate_rules": predicate_hits,
@@ -176,7 +213,14 @@ def _patterns() -> str:
 
 _SCORES = f"WITH {_patterns()}, s AS ({NATIONS}), h AS (SELECT query_id, dialect, label, count(*) AS score FROM s, p WHERE regexp_matches(sql, pattern) GROUP BY ALL)"
 _STEP_ROWS = f"CAST(CASE f.{{0}} WHEN 'n' THEN CAST({_N} AS VARCHAR) ELSE f.{{0}} END AS DOUBLE)"
+_GRAPH = f"s AS ({ORDERS}), f(template, a, b) AS (VALUES {_PAIRS}), g AS (SELECT query_id, a, b FROM s JOIN f USING (template))"
 SQL: dict[str, str] = {
+    "related_nodes": f"WITH {_GRAPH}, t AS (SELECT DISTINCT query_id, n FROM (SELECT query_id, a AS n FROM g UNION SELECT query_id, b FROM g) WHERE n LIKE 'projection-%') SELECT query_id, n AS node FROM t UNION SELECT query_id, a FROM g JOIN t USING (query_id) WHERE b = n UNION SELECT query_id, b FROM g JOIN t USING (query_id) WHERE a = n",
+    "lineage_layout": f"""WITH {_GRAPH}, n AS (SELECT query_id, a AS node_id FROM g UNION SELECT query_id, b FROM g), k AS (SELECT *, CASE WHEN node_id LIKE 'asset-%' OR node_id LIKE 'join-source-%' THEN 'source' ELSE split_part(node_id, '-', 1) END AS kind FROM n),
+        l AS (SELECT *, CAST(list_position(['cte', 'source', 'join', 'where', 'group', 'having', 'order', 'limit', 'projection', 'result'], kind) - 1 AS INT) AS layer FROM k)
+        SELECT query_id, node_id, kind, layer, CAST(row_number() OVER (PARTITION BY query_id, layer ORDER BY node_id) - 1 AS INT) AS place, count(*) OVER (PARTITION BY query_id, layer) AS of FROM l""",
+    "lineage_neighbourhood": f"""WITH RECURSIVE {_GRAPH}, u AS (SELECT query_id, a, b FROM g UNION SELECT query_id, b, a FROM g), r(query_id, node, distance) AS (SELECT DISTINCT query_id, 'result-0', 0 FROM g UNION SELECT u.query_id, u.b, r.distance + 1 FROM r JOIN u ON u.query_id = r.query_id AND u.a = r.node WHERE r.distance < 3)
+        SELECT query_id, node, CAST(min(distance) AS INT) AS distance FROM r GROUP BY ALL""",
     "risk_report": f"WITH {_E} SELECT code, severity, title, count(*) AS n, count(DISTINCT query_id) AS statements FROM s JOIN e USING (template) GROUP BY ALL",
     "rule_scores": f"WITH {_E}, {_PER} SELECT query_id, CAST(score AS INT) AS score, {_LEVEL} AS risk_level FROM s JOIN per USING (template)",
     "review_findings": f"WITH {_E} SELECT query_id, code, severity, title FROM s JOIN e USING (template)",

@@ -6,15 +6,17 @@ set's elements: exponentially spaced truncated minima. Registers of a union are
 registers are equal with a probability that grows with the Jaccard similarity.
 
 1. Texts with the same set become one node (smallest doc_id), so any number of exact copies costs one node.
-2. BANDS bands of ROWS registers hash nodes to buckets. Round one compares every member of a bucket with the bucket's
-   smallest node: linear in the members, whatever the bucket's size.
+2. BANDS bands of ROWS registers hash nodes to buckets. Round one compares every member of a bucket with one of its
+   members, drawn by a hash so that it differs from band to band: linear in the members, whatever the bucket's size.
 3. A pair is dropped if its similarity, estimated from the registers by maximum likelihood jointly with both known set
    sizes, is under the threshold by more than SIGMAS standard errors (or if the sizes alone rule it out). All other
    pairs are confirmed on the full sets.
 4. Confirmed links give components. Round two looks at buckets whose members are in more than one component: each
-   member outside the bucket's largest component is compared with all members in other components. A bucket with more
-   than SMALL such members is first split by each of the other bands, up to DEPTH times (a hot passage puts many
-   unlike texts in one bucket; they part as soon as another band is added); what is left after that is compared in full.
+   member outside the bucket's largest component is compared with all members in other components. Buckets of at most
+   SMALL members give pairs; larger ones are worked through in pairs of blocks of about SQUARE members, which give the
+   links found, never the pairs tried. A bucket with more than HUGE members outside its largest component is first
+   split by each of the other bands, up to DEPTH times (a hot passage puts many unlike texts in one bucket; they part
+   as soon as another band is added); what is left after that goes through in blocks.
 
 So no link is lost to a bucket's size: the only misses are pairs that share no band, at similarity 0.75 one in 200,000
 (``(1 - .75**4)**32``), and far fewer above.
@@ -46,7 +48,9 @@ BANDS = M // ROWS
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
 THRESHOLD = 75  # percent
 SIGMAS = 5.0
-SMALL, DEPTH = 32, 3
+#: Members of a bucket that is compared by pairs; members outside the largest component of one that is split; splits.
+SMALL, HUGE, DEPTH = 32, 16_384, 3
+SQUARE = 512
 _rng = np.random.default_rng(20_100)
 _PLACE = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 _MUL = _rng.integers(0, 2**64, M, np.uint64, endpoint=False) | np.uint64(1)
@@ -188,7 +192,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     groups = cut(sketched.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
     nodes = groups.select("node", "n", "regs")
     bands = nodes.select("node", "regs").mapInPandas(_to_bands, "key long, node long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1").select("key", "leader")
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("key", "node")).alias("leader")).where("members > 1").select("key", "leader")
     members = cut(bands.join(shared, "key"), "buckets")
     involved = members.select("node").distinct()
     bodies = cut(
@@ -202,32 +206,120 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         likely = cut(sized.mapInPandas(_likely(threshold), "a long, b long"), "likely")
         return cut(likely.join(body("b"), "b").join(body("a"), "a").mapInPandas(_confirm(threshold), "a long, b long"), "links")
 
-    first = links(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    first = links(members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
     labels = connected_components(first)
     # round two: buckets with members in more than one component
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     named = cut(named.join(_open(named), "key"), "open")
-    pairs = None
+    pairs, more = None, first
     for depth in range(DEPTH + 1):
         counts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        major = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), (F.sum("c") - F.max("c")).alias("minor"))
-        large = F.col("minor") > (SMALL if depth < DEPTH else 2**62)
+        major = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("minor"))
         told = cut(named.join(major, "key"), "told")
-        small = told.where(~large)
-        minor = small.where("label <> major").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        found = minor.join(small.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), "major"), "key")
+        small, huge = F.col("size") <= SMALL, F.col("minor") > (HUGE if depth < DEPTH else 2**62)
+        few = told.where(small)
+        left = few.where("label <> major").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+        found = left.join(few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), "major"), "key")
         found = found.where("lx <> ly AND (ly = major OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
-        hot = told.where(large).select("key", "node", "label")
-        if depth == DEPTH or not hot.limit(1).count():
+        many = told.where(~small & ~huge)
+        if many.limit(1).count():
+            more = more.unionByName(_within(many, nodes, bodies, threshold))
+        rest = told.where(~small & huge).select("key", "node", "label")
+        if depth == DEPTH or not rest.limit(1).count():
             break
-        named = hot.join(nodes.select("node", "regs"), "node").mapInPandas(_to_sub_bands, "key long, node long, label long")
+        named = rest.join(nodes.select("node", "regs"), "node").mapInPandas(_to_sub_bands, "key long, node long, label long")
         named = cut(named.join(_open(named), "key").distinct(), "open")
-    second = links(pairs)
-    labels = connected_components(first.unionByName(second))
+    labels = connected_components(more.unionByName(links(pairs)))
     return _result(sketched, groups, labels)
 
 
+def _squares(rows: DataFrame, *columns: str) -> DataFrame:
+    """For rows(key, node, label, major, ...) of buckets: each block of members outside the bucket's largest component
+    beside each block of all members; blocks hold about SQUARE members, however large the bucket."""
+    entry = F.struct("node", "label", *columns)
+
+    def blocks(part: DataFrame, name: str) -> DataFrame:
+        size = part.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SQUARE)).alias("of"))
+        return part.join(size, "key").groupBy("key", F.pmod(F.xxhash64("node"), F.col("of")).alias("_block")).agg(F.collect_list(entry).alias(name)).drop("_block")
+
+    return blocks(rows.where("label <> major"), "minor").join(blocks(rows, "whole"), "key")
+
+
+def _near(threshold: int):
+    """Members of a pair of blocks that have a likely link into another component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = threshold / 100
+        spread = math.sqrt(t * (1 - t) / M)
+        for b in batches:
+            for key, minor, whole in zip(b["key"], b["minor"], b["whole"], strict=True):
+                (x, lx, nx, rx), (y, ly, ny, ry) = (
+                    (np.array([r["node"] for r in side]), np.array([r["label"] for r in side]), np.array([r["n"] for r in side], float), np.frombuffer(b"".join(r["regs"] for r in side), np.uint16).reshape(-1, M))
+                    for side in (minor, whole)
+                )
+                hit_x, hit_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+                for i in range(len(x)):
+                    # a cheap bound first: the share of equal registers, one standard error wider
+                    j = np.flatnonzero((ly != lx[i]) & ((ry == rx[i]).sum(1) >= M * (t - (SIGMAS + 1) * spread)) & (100 * np.minimum(ny, nx[i]) >= threshold * np.maximum(ny, nx[i])))
+                    if len(j):
+                        j = j[estimate(np.full(len(j), nx[i]), ny[j], np.broadcast_to(rx[i], (len(j), M)), ry[j]) >= t - SIGMAS * spread]
+                        hit_x[i] |= len(j) > 0
+                        hit_y[j] = True
+                node = np.unique(np.concatenate([x[hit_x], y[hit_y]]))
+                yield pd.DataFrame({"key": key, "node": node}, index=range(len(node)))
+
+    return run
+
+
+def _exact(threshold: int):
+    """Confirmed links between the members of a pair of blocks; links within what they already connect are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHashes()
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for minor, whole in zip(b["minor"], b["whole"], strict=True):
+                sets = {r["node"]: shingle_set(unpack.decompress(r["body"]).decode("utf-8", "surrogatepass"), memo) for r in (*minor, *whole)}
+                y, ly = [r["node"] for r in whole], np.array([r["label"] for r in whole])
+                size = np.array([len(sets[i]) for i in y])
+                vocabulary, at = np.unique(np.concatenate([sets[i] for i in y]), return_inverse=True)
+                start, mark = np.r_[0, np.cumsum(size)[:-1]], np.zeros(len(vocabulary), np.int64)
+                parent: dict[int, int] = {r["label"]: r["label"] for r in (*minor, *whole)}
+
+                def top(v: int, parent=parent) -> int:
+                    while parent[v] != v:
+                        parent[v] = v = parent[parent[v]]
+                    return v
+
+                out = []
+                for r in minor:
+                    s = sets[r["node"]]
+                    where = np.searchsorted(vocabulary, s)
+                    where[where == len(vocabulary)] = 0
+                    where = where[vocabulary[where] == s]
+                    mark[where] = 1
+                    both = np.add.reduceat(mark[at], start)
+                    mark[where] = 0
+                    for j in np.flatnonzero((ly != r["label"]) & (100 * both >= threshold * (size + len(s) - both))):
+                        p, q = top(r["label"]), top(int(ly[j]))
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            out.append((min(r["node"], y[j]), max(r["node"], y[j])))
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _within(told: DataFrame, nodes: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed links between components within large buckets, by blocks: estimates first, then the full sets of the
+    members that have a likely partner."""
+    sketched = told.select("key", "node", "label", "major").join(nodes.dropDuplicates(["node"]), "node")
+    near = cut(_squares(sketched, "n", "regs").mapInPandas(_near(threshold), "key long, node long").distinct(), "near")
+    whole = told.select("key", "node", "label", "major").join(near, ["key", "node"]).join(bodies.dropDuplicates(["node"]), "node")
+    return cut(_squares(whole, "body").mapInPandas(_exact(threshold), "a long, b long").distinct(), "within")
+
+
 def _open(named: DataFrame) -> DataFrame:
     """Keys whose members are in more than one component."""
     return named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")

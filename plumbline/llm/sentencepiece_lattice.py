@@ -1,8 +1,7 @@
 """SentencePiece encoding over a relational lattice, and decoding.
 
-A text gets the dummy prefix, spaces become U+2581, and it is cut before every run of U+2581: no piece crosses there, so
-the units between are encoded on their own. Long units are cut further wherever no piece holds the two neighbouring
-characters.
+A text gets the dummy prefix, spaces become U+2581, and it is cut before every run of U+2581 and wherever no piece holds
+the two neighbouring characters: no piece crosses there, so the units between are encoded on their own.
 
 The units of a chunk of documents (whole documents, about CHUNK bytes) are numbered in order of first appearance. The
 distinct units of all chunks are then encoded once: their substrings of bounded length are exploded and equi-joined to
@@ -27,9 +26,9 @@ pass through; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import operator
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import clashing, ship
 
 SPACE = "▁"
-CHUNK, LONG, CUT_OVER = 64_000_000, 62, 24
+CHUNK, LONG = 32_000_000, 62
+#: Groups that Spark's aggregate of edges holds before it sorts instead; a group is a unit's few edges.
+GROUPS = 100_000
 MAX_PIECES = 1_000_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -69,6 +70,7 @@ class Model:
         place = {s: r for r, s in enumerate(order)}
         self.rank = {p: place[s] for p, (_, s) in self.pieces.items() if len(p) > 1}
         self.joins = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.joined = self.joins.__contains__
         self.out: list[bytes] = [b""] * len(proto.pieces)
         for p, (i, _) in self.pieces.items():
             self.out[i] = p.replace(SPACE, " ").encode()
@@ -76,23 +78,26 @@ class Model:
             self.out[i] = bytes([value])
         self.out[self.unknown] = " ⁇ ".encode()
 
-    def units(self, text: str | None) -> list[str]:
+    def words(self, text: str | None) -> list[str]:
+        """A text cut before every run of U+2581."""
         if not text:
             return []
         text = text.replace(" ", SPACE)
-        found = _UNIT.findall(SPACE + text if self.prefix else text)
-        if max(map(len, found)) <= CUT_OVER:
-            return found
-        return [x for u in found for x in (self.pieces_apart(u) if len(u) > CUT_OVER else (u,))]
-
-    def pieces_apart(self, unit: str) -> list[str]:
-        """A long unit, cut where no piece holds both neighbours; the parts are those of the whole."""
+        return _UNIT.findall(SPACE + text if self.prefix else text)
+
+    def units(self, word: str) -> list[str]:
+        """A word cut where no piece holds both neighbours; the units' pieces are those of the word."""
+        if len(word) < 2:
+            return [word]
+        flags = list(map(self.joined, map(operator.add, word, word[1:])))
+        if False not in flags:
+            return [word]
         out, at = [], 0
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in self.joins:
-                out.append(unit[at:i])
+        for i, joined in enumerate(flags, 1):
+            if not joined:
+                out.append(word[at:i])
                 at = i
-        return [*out, unit[at:]]
+        return [*out, word[at:]]
 
     def ids(self, symbols: list[str]) -> list[int]:
         out = []
@@ -172,9 +177,9 @@ def masks(units: DataFrame, model: Model) -> DataFrame:
         rows = [(p, 0, s) for p, (_, s) in model.pieces.items()]
     pieces = spark.createDataFrame(rows, "piece string, rank int, score double")
     n = F.length("unit")
-    starts = F.sequence(F.lit(0), n - shortest)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(model.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring("unit", s + 1, k).alias("piece")))))
-    edges = units.select("unit", F.explode(spans).alias("x")).select("unit", "x.*").join(F.broadcast(pieces), "piece")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - shortest)).alias("s"))
+    spans = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + shortest, F.least(F.col("s") + model.longest, n))).alias("e"))
+    edges = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     if model.bpe:
         # bits s+1..e-1 are the boundaries inside, bits s and e the ends; sorted by rank, then start
@@ -192,9 +197,9 @@ def _merge_fold(n: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         mask = state["mask"]
         fits = F.filter("edges", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1))
-        best = F.get(fits["inside"], F.lit(0))
-        merged = F.struct(F.coalesce(mask.bitwiseAND(F.bitwise_not(best)), mask).alias("mask"), best.isNull().alias("over"))
-        return F.when(state["over"], state).otherwise(merged)
+        best = F.array(F.get(fits["inside"], F.lit(0)))  # in an array of one, so that it is worked out once
+        merged = F.transform(best, lambda b: F.struct(F.coalesce(mask.bitwiseAND(F.bitwise_not(b)), mask).alias("mask"), b.isNull().alias("over")))
+        return F.when(state["over"], state).otherwise(F.get(merged, F.lit(0)))
 
     start = F.struct(whole.alias("mask"), F.lit(False).alias("over"))
     return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda state: state["mask"])
@@ -231,71 +236,81 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     sent = ship(spark, model)
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
+        """(key, documents as (doc_id, UTF-8)) of each chunk."""
         from pyspark import TaskContext
 
         part, rows, size = TaskContext.get().partitionId(), [], 0
-        press = zstandard.ZstdCompressor(3)
 
         def key() -> int:
             h = xxhash.xxh64(str(part).encode())
-            for _, _, raw in rows:
+            for _, raw in rows:
                 h.update(raw)
+                h.update(b"\xff")
             return h.intdigest() - 2**63
 
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                rows.append((len(rows), doc, press.compress(raw)))
-                size += len(raw)
+                rows.append((doc, (text or "").encode("utf-8", "surrogatepass")))
+                size += len(rows[-1][1])
                 if size >= CHUNK:
                     yield key(), rows
                     rows, size = [], 0
         if rows:
             yield key(), rows
 
-    def numbered(rows: list, model: Model, texts: Iterator[str]) -> dict[str, int]:
-        seen: dict[str, int] = {}
-        for text in texts:
-            for u in model.units(text):
-                if u not in seen:
-                    seen[u] = len(seen)
-        return seen
-
-    def texts_of(rows: list) -> Iterator[str]:
-        unpack = zstandard.ZstdDecompressor()
-        for _, _, raw in rows:
-            yield unpack.decompress(raw).decode("utf-8", "surrogatepass")
+    def numbered(model: Model, texts: Iterator[bytes]) -> tuple[dict[str, int], dict[str, int], list[np.ndarray]]:
+        """Places of words and of units in order of first appearance, and the words' places in each text."""
+        words: dict[str, int] = {}
+        units: dict[str, int] = {}
+        used = []
+        for raw in texts:
+            found = model.words(raw.decode("utf-8", "surrogatepass"))
+            for w in found:
+                if w not in words:
+                    words[w] = len(words)
+                    for u in model.units(w):
+                        if u not in units:
+                            units[u] = len(units)
+            used.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+        return words, units, used
 
     def to_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent()
         for key, rows in chunks(batches):
-            found = [(u, i) for u, i in numbered(rows, m, texts_of(rows)).items() if 1 < len(u) <= LONG]
+            found = [(u, i) for u, i in numbered(m, (raw for _, raw in rows))[1].items() if 1 < len(u) <= LONG]
             for at in range(0, len(found), 100_000):
                 part = found[at : at + 100_000]
                 yield pd.DataFrame({"chunk": key, "unit": [u for u, _ in part], "place": [i for _, i in part]})
 
     def to_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(6)
         for key, rows in chunks(batches):
             for at in range(0, len(rows), 10_000):
-                seq, doc, body = zip(*rows[at : at + 10_000], strict=True)
-                yield pd.DataFrame({"chunk": key, "seq": seq, "doc_id": pd.array(doc, "Int64"), "body": body})
+                part = rows[at : at + 10_000]
+                yield pd.DataFrame({"chunk": key, "seq": range(at, at + len(part)), "doc_id": pd.array([d for d, _ in part], "Int64"), "body": [press.compress(raw) for _, raw in part]})
 
     def assemble(bodies: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        m = sent()
+        m, unpack = sent(), zstandard.ZstdDecompressor()
         bodies = bodies.sort_values("seq", kind="stable")
-        rows = list(zip(bodies["seq"], bodies["doc_id"], bodies["body"], strict=True))
-        place = numbered(rows, m, texts_of(rows))
-        mask = np.full(len(place), -2, np.int64)  # all boundaries
+        words, units, used = numbered(m, map(unpack.decompress, bodies["body"]))
+        mask = np.full(len(units), -2, np.int64)  # all boundaries
         mask[found["place"].to_numpy()] = found["mask"].to_numpy()
-        bits, no_masks = mask.tolist(), not len(found)
-        coded = {u: m.ids(m.merged(u) if len(u) > LONG or no_masks or not m.bpe and bits[i] == -2 else m.symbols(u, bits[i])) for u, i in place.items()}
+        whole = not len(found) or not m.bpe  # no masks for this chunk, or units that have none are merged here
+        del found
+        code = {}
+        for u, bits in zip(units, mask.tolist(), strict=True):
+            alone = len(u) > LONG or whole and bits == -2
+            code[u] = np.array(m.ids(m.merged(u) if alone else m.symbols(u, bits)), "<u4").tobytes()
+        ids_of = [b"".join(map(code.__getitem__, m.units(w))) for w in words]
+        del code, units, words
         ids, fits = [], []
-        for text in texts_of(rows):
-            got = list(chain.from_iterable(map(coded.__getitem__, m.units(text))))
+        for places, body in zip(used, bodies["body"], strict=True):
+            got = np.frombuffer(b"".join(map(ids_of.__getitem__, places.tolist())), "<u4").astype(np.int32)
             ids.append(got)
-            fits.append(m.decode(got) == text)
+            fits.append(m.decode(got.tolist()).encode("utf-8", "surrogatepass") == unpack.decompress(body))
         return pd.DataFrame({"doc_id": bodies["doc_id"].astype("Int64").to_numpy(), "n_tokens": list(map(len, ids)), "ids": ids, "round_trip": fits})
 
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
     seen = docs.mapInPandas(to_units, "chunk long, unit string, place int")
     # dealt once by unit: the distinct units and the join back read the same exchange (the counts keep its columns alike)
     dealt = seen.where("unit IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")

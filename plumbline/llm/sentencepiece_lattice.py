@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import clashing, ship
 
 SPACE = "▁"
-CHUNK, LONG = 32_000_000, 62
+CHUNK, LONG = 12_000_000, 62
 #: Groups that Spark's aggregate of edges holds before it sorts instead; a group is a unit's few edges.
 GROUPS = 100_000
 MAX_PIECES = 1_000_000

@@ -41,6 +41,16 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_lattice.encode(df.limit(0), PIECES).count() == 0
 
 
+def test_sentencepiece_in_small_chunks(spark, monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(sentencepiece_lattice, "CHUNK", 50)
+    texts = [f"text number {i} of the lot." for i in range(12)] * 2 + ["", None]
+    got = {r["doc_id"]: list(r["ids"]) for r in sentencepiece_lattice.encode(docs(spark, texts).coalesce(1), PIECES).collect()}
+    assert got == {i: lib.encode(t or "") for i, t in enumerate(texts)}
+
+
 def test_viterbi_fold_of_a_unigram_model(spark, tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb

@@ -235,15 +235,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def _squares(rows: DataFrame, *columns: str) -> DataFrame:
-    """For rows(key, node, label, major, ...) of buckets: each block of members outside the bucket's largest component
-    beside each block of all members; blocks hold about SQUARE members, however large the bucket."""
-    entry = F.struct("node", "label", *columns)
-
-    def blocks(part: DataFrame, name: str) -> DataFrame:
-        size = part.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SQUARE)).alias("of"))
-        return part.join(size, "key").groupBy("key", F.pmod(F.xxhash64("node"), F.col("of")).alias("_block")).agg(F.collect_list(entry).alias(name)).drop("_block")
-
-    return blocks(rows.where("label <> major"), "minor").join(blocks(rows, "whole"), "key")
+    """For rows(key, node, label, major, size, ...) of buckets: each block of members outside the bucket's largest
+    component beside each block of all members; blocks hold about SQUARE members, however large the bucket."""
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(SQUARE)))
+    entry = F.struct("node", "label", (F.col("label") != F.col("major")).alias("minor"), *columns)
+    blocks = cut(rows.groupBy("key", block.alias("block")).agg(F.collect_list(entry).alias("whole")), "blocks")
+    minor = blocks.select("key", F.filter("whole", lambda r: r["minor"]).alias("minor")).where(F.size("minor") > 0)
+    return minor.join(blocks.select("key", "whole"), "key")
 
 
 def _near(threshold: int):
@@ -314,9 +312,9 @@ def _exact(threshold: int):
 def _within(told: DataFrame, nodes: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
     """Confirmed links between components within large buckets, by blocks: estimates first, then the full sets of the
     members that have a likely partner."""
-    sketched = told.select("key", "node", "label", "major").join(nodes.dropDuplicates(["node"]), "node")
+    sketched = told.select("key", "node", "label", "major", "size").join(nodes.dropDuplicates(["node"]), "node")
     near = cut(_squares(sketched, "n", "regs").mapInPandas(_near(threshold), "key long, node long").distinct(), "near")
-    whole = told.select("key", "node", "label", "major").join(near, ["key", "node"]).join(bodies.dropDuplicates(["node"]), "node")
+    whole = told.select("key", "node", "label", "major", "size").join(near, ["key", "node"]).join(bodies.dropDuplicates(["node"]), "node")
     return cut(_squares(whole, "body").mapInPandas(_exact(threshold), "a long, b long").distinct(), "within")
 
 

@@ -29,7 +29,6 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,40 +38,48 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import clashing, cut, file_system, new_folder
 
 SCALE, LANES, BLOCK, TOGETHER = 20, 32, 16_384, 64
-FILE_IDS, MEMO, END = 4_000_000, 400_000, 1
+FILE_IDS, MEMO, END = 4_000_000, 800_000, 1
 INDEX = "file string, first_doc long, first_null boolean, place int, ids long, docs long"
 MAGIC = b"PLT1"
 _LOW = np.uint64(2**31)
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PLAIN = re.compile(rb"[\x21-\x7e]+")
+#: Letters of ASCII and Latin-1 that are one code point in every normal form, with the signs of ASCII: on words of these
+#: alone the tokenizer's normaliser and splitting are the two lines below.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Byte-level BPE writes a byte that has no visible Latin-1 sign as a code point from 256 on.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SIGN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 class Words(dict):
-    """ids of each word (bytes), by the library; `parts` remembers the pieces that plain ASCII words are made of."""
+    """ids of each word (both as bytes), by the library; `parts` remembers the pieces that plain words are made of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         # only this normaliser and pre-tokenizer are known to act on a plain word as _PART does
-        shape = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
-        self.plain = "Lowercase()" in shape and "ByteLevel" in shape and r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in shape.replace("\\\\", "\\")
-
-    def __missing__(self, word: bytes) -> list[int]:
+        shape = (str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)).replace("\\\\", "\\")
+        self.plain = "Lowercase()" in shape and "ByteLevel" in shape and r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in shape
+
+    def part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(_SIGN)
+            ids = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        if self.plain and b"<|" not in word and _PLAIN.fullmatch(word):
-            out: list[int] = []
-            for part in _PART.findall(word.decode().lower()):
-                ids = self.parts.get(part)
-                if ids is None:
-                    if len(self.parts) >= MEMO:
-                        self.parts.clear()
-                    ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part)]
-                out += ids
+        text = word.decode("utf-8", "surrogatepass")
+        if self.plain and "<|" not in text and _PLAIN.fullmatch(text):
+            out = b"".join(map(self.part, _PART.findall(text.lower())))
         else:
-            out = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = out
         return out
 
@@ -87,14 +94,14 @@ def words(path: str) -> Words:
 
 def encode_text(text: str | None, memo: Words, end: int = END) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").split()
-    ids = list(chain.from_iterable(map(memo.__getitem__, found)))
-    ids.append(end)
-    return np.array(ids, np.uint32)
+    return np.frombuffer(b"".join(map(memo.__getitem__, found)) + struct.pack("<I", end), "<u4")
 
 
 def scaled(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that occur and their frequencies, at least 1 each, with the sum 2**SCALE."""
-    symbols, count = np.unique(ids, return_counts=True)
+    count = np.bincount(ids)
+    symbols = np.flatnonzero(count)
+    count = count[symbols]
     freq = np.maximum(1, count * (2**SCALE - len(symbols)) // max(1, count.sum()))
     freq[np.argmax(freq)] += 2**SCALE - freq.sum()
     return symbols.astype(np.uint32), freq.astype(np.int64)
@@ -103,14 +110,16 @@ def scaled(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _grid(ids: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """blocks x steps x lanes, and the number of ids in each block."""
     n = np.minimum(BLOCK, len(ids) - np.arange(0, len(ids), BLOCK))
-    out = np.full(len(n) * BLOCK, pad, np.int64)
+    out = np.full(len(n) * BLOCK, pad, np.int32)
     out[: len(ids)] = ids
     return out.reshape(len(n), BLOCK // LANES, LANES), n
 
 
 def encode_blocks(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all blocks, words in each block, ids in each block, and states (blocks x LANES)."""
-    place = np.searchsorted(symbols, ids)
+    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int32)
+    places[symbols] = np.arange(len(symbols))
+    place = places[ids]
     f, start = freq.astype(np.uint64), np.r_[0, np.cumsum(freq)[:-1]].astype(np.uint64)
     words_out, counts, sizes, states = [], [], [], []
     for at in range(0, len(ids), BLOCK * TOGETHER):
@@ -193,7 +202,7 @@ class Reader:
         self.symbols, self.freq = table["id"].copy(), table["f"].astype(np.int64)
         self.blocks = np.frombuffer(block, [("first", "<u8"), ("n", "<u4"), ("crc", "<u4"), ("x", "<u8", LANES)])
         self.docs = np.frombuffer(doc, [("id", "<i8"), ("null", "u1"), ("n", "<u4")])
-        self.slots = np.repeat(np.arange(len(self.freq)), self.freq)
+        self.slots = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq)
 
     def ids(self, first: int = 0, last: int | None = None) -> Iterator[np.ndarray]:
         """The ids of blocks first..last-1, TOGETHER blocks at a time; checksums are compared."""
@@ -245,13 +254,22 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int = END) ->
     return cut(ordered.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, INDEX), "token-index")
 
 
+def placed(index: DataFrame) -> DataFrame:
+    """The index with `before`, the ids of all files before each one. A row is a file of millions of ids, so this running
+    sum is short."""
+    from pyspark.sql import Window
+
+    before = Window.orderBy(F.col("first_null").desc(), "first_doc", "place").rowsBetween(Window.unboundedPreceding, -1)
+    return index.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+
+
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """doc_id, file, place (ids before it in the file), n_tokens, ids_crc32 of each document of the files in an index."""
+    """doc_id, file, start, n_tokens, ids_crc32 of each document of the files in an index with `before`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, at = file_system(folder)
         for b in batches:
-            for name in b["file"]:
+            for name, before in zip(b["file"], b["before"], strict=True):
                 with fs.open_input_file(f"{at}/{name}") as f:
                     reader = Reader(f)
                     ends = np.cumsum(reader.docs["n"].astype(np.int64))
@@ -268,10 +286,14 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                             crc = zlib.crc32(raw[4 * max(0, (int(ends[doc - 1]) if doc else 0) - begin) :], crc)
                 n = reader.docs["n"].astype(np.int64)
                 ids = pd.Series(reader.docs["id"].astype(np.int64), dtype="Int64").mask(reader.docs["null"].astype(bool))
-                yield pd.DataFrame({"doc_id": ids, "file": name, "place": ends - n, "n_tokens": n, "ids_crc32": sums})
+                yield pd.DataFrame({"doc_id": ids, "file": name, "start": before + ends - n, "n_tokens": n, "ids_crc32": sums})
+
+    return _spread(index.select("file", "before")).mapInPandas(run, "doc_id long, file string, start long, n_tokens long, ids_crc32 long")
+
 
-    files = index.select("file").repartition("file")
-    return files.mapInPandas(run, "doc_id long, file string, place long, n_tokens long, ids_crc32 long")
+def _spread(files: DataFrame) -> DataFrame:
+    """Files over all tasks; a count keeps adaptive execution from joining these small rows, large work, in one task."""
+    return files.repartition(max(2, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def token_ids(index: DataFrame, folder: str) -> DataFrame:
@@ -292,16 +314,10 @@ def token_ids(index: DataFrame, folder: str) -> DataFrame:
                             wait, doc = wait[n:], doc + 1
                         yield pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
 
-    return index.select("file").repartition("file").mapInPandas(run, "doc_id long, ids array<long>")
+    return _spread(index.select("file")).mapInPandas(run, "doc_id long, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
     """Writes docs and reads the files back: doc_id, start, n_tokens, ids_crc32."""
-    from pyspark.sql import Window
-
     folder = folder or new_folder(docs.sparkSession, "tokens")
-    index = write(docs, folder, tokenizer_path)
-    # one row a file, millions of ids each: the running sum over files is small
-    before = Window.orderBy(F.col("first_null").desc(), "first_doc", "place").rowsBetween(Window.unboundedPreceding, -1)
-    starts = index.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    return read(index, folder).join(starts, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return read(placed(write(docs, folder, tokenizer_path)), folder).select("doc_id", "start", "n_tokens", "ids_crc32")

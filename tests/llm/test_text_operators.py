@@ -211,6 +211,23 @@ def test_licences_equal_unpruned_dice(spark):
     assert license_scan.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_licences_inside_longer_texts(spark):
+    import textwrap
+
+    prose = "\n".join(" ".join(f"w{8 * i + k}" for k in range(8)) for i in range(600))
+    comment = lambda name: "\n".join(" * " + x for x in textwrap.wrap(license_scan.TEMPLATES[name], 70))
+    names = ["MIT/text", "ISC/text", "Apache-2.0/header", "GPL-3.0/header", "MPL-2.0/notice", "BSD-2-Clause/text", "BSD-3-Clause/text", "LGPL-2.1/header", "LGPL-3.0/header", "AGPL-3.0/header", "GPL-2.0/header", "CC0-1.0/text", "Unlicense/text", "Apache-2.0/text", "MPL-2.0/text"]
+    texts = [f"int main\n{comment(n)}\n\n{prose}" for n in names] + [
+        prose.replace("\n", " ") + " Released under the MIT License. " + prose.replace("\n", " "),
+        "alpha beta gamma delta released under\nthe MIT License and so on with more words of the text\n" + prose,
+        "One line. All rights reserved.",
+    ]
+    found = {(r["doc_id"], r["line"], r["template"]) for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert found >= {(i, 2, n) for i, n in enumerate(names)}
+    assert {f for f in found if f[0] >= len(names)} == {(len(names), 1, "MIT/notice"), (len(names) + 1, 1, "MIT/notice")}
+    assert rows(license_scan.scan(docs(spark, ["All rights reserved."]))) == [(0, 1, "LicenseRef-all-rights-reserved/notice", 1.0)]
+
+
 # 8 --------------------------------------------------------------------------------------------------------------------
 
 

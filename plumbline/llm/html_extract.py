@@ -14,8 +14,13 @@ The lines of the two are aligned by longest common subsequence, and the lines th
 other furniture recur, the text does not. Lines inside an article are never deleted, so mirrored articles stay whole;
 a page whose markup names an article (or main) element needs no partner.
 
-The order is a range partitioning, so a host with a third of all pages is spread over many tasks; only the two edges of
-a range look into its neighbours. A line travels as a 64-bit hash.
+Copies are no evidence of furniture. Two pages are alike if the lines they share have LIKE of the characters of the
+shorter one (copies, mirrors, print views; rows of one page_id too). Pages that follow each other and are alike form a
+run, and a page's neighbours are the pages before and after its run. A page without an unlike page beside its run on its
+host keeps its text whole.
+
+The order is a range partitioning, so a host with a third of all pages is spread over many tasks; only the runs at the
+two edges of a range look beyond it, through a table with a row for each range. A line travels as a 64-bit hash.
 
 Character references are decoded,
 white space inside a block becomes one space, blocks are trimmed, empty ones dropped, and the rest joined by a newline
@@ -54,6 +59,7 @@ _SPACE = re.compile(r"\s+")
 #: An element that ends an open one, as in browsers.
 ENDS = {"li": {"li"}, "p": BLOCKS, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 IN, OPEN = 1, 0
+LIKE = 0.9
 
 
 class _Page(HTMLParser):
@@ -182,17 +188,35 @@ def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "path": b["path"], "text": ["\n".join(f) for f in found], "marks": marks})
 
 
+def _evidence(page: str | None, text: str, marks: list, other) -> set[int] | None:
+    """Places of the lines that a page shares with another one, or None if the two are alike."""
+    if other["page_id"] is None or other["page_id"] == page or list(other["marks"]) == marks:
+        return None
+    shared, sizes = common_lines(marks, list(other["marks"])), [len(x) for x in text.split("\n")]
+    return None if sum(sizes[i] for i in shared) >= LIKE * min(sum(sizes), other["size"]) else shared
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whether each page goes on with the run of the one before it."""
+    for b in batches:
+        like = []
+        for page, host, text, marks, other in zip(b["page_id"], b["host"], b["text"], b["marks"], b["previous"], strict=True):
+            like.append(other is not None and other["host"] == host and _evidence(page, text, list(marks), other) is None)
+        yield b.assign(like=like)
+
+
 def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import os.path
 
     for b in batches:
         out = []
         for page, host, path, text, marks, *sides in zip(b["page_id"], b["host"], b["path"], b["text"], b["marks"], b["before"], b["after"], strict=True):
-            sides = [x for x in sides if x is not None and x["host"] == host and x["page_id"] != page]
-            if sides:
-                near = max(sides, key=lambda x: len(os.path.commonprefix([x["path"], path])))  # the one before, if alike
-                gone = common_lines(list(marks), list(near["marks"]))
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+            sides = [x for x in sides if x is not None and x["host"] == host]
+            for near in sorted(sides, key=lambda x: -len(os.path.commonprefix([x["path"], path]))):  # the one before, if both share as much
+                gone = _evidence(page, text, list(marks), near)
+                if gone is not None:
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+                    break
             out.append(text)
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out})
 
@@ -204,20 +228,34 @@ def differenced(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     placed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
     lines = placed.mapInPandas(_open, "page_id string, url string, host string, path string, text string, marks array<long>")
-    by = ["host", "path", "url", "page_id"]
-    # ranges of the sorted pages, of even size whatever a host's share; then neighbours within and across ranges
+    lines = lines.withColumn("size", F.char_length(F.replace("text", F.lit("\n"), F.lit(""))).cast("long"))
+    by = ["host", "path", "url", "page_id", "text"]
+    # ranges of the sorted pages, of even size whatever a host's share; then the page before, within and across ranges
     lines = cut(lines.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "lines")
-    order = Window.partitionBy("part").orderBy(*by)
-    row = F.struct("page_id", "host", "path", "marks")
-    near = lines.withColumns({"before": F.lag(row).over(order), "after": F.lead(row).over(order)})
-    parts = lines.select("part").distinct()
-    parts = parts.withColumns({"down": F.lag("part").over(Window.orderBy("part")), "up": F.lead("part").over(Window.orderBy("part"))})  # a row a range
-    first = near.where("before IS NULL").select(F.col("part").alias("up"), row.alias("next"))
-    last = near.where("after IS NULL").select(F.col("part").alias("down"), row.alias("previous"))
-    edge = parts.join(first, "up", "left").join(last, "down", "left").select("part", "next", "previous")
-    inner = near.where("before IS NOT NULL AND after IS NOT NULL")
-    outer = near.where("before IS NULL OR after IS NULL").join(edge, "part").withColumns({"before": F.coalesce("before", "previous"), "after": F.coalesce("after", "next")})
-    both = inner.unionByName(outer.select(*inner.columns))
+    order, back = Window.partitionBy("part").orderBy(*by), Window.partitionBy("part").orderBy(*[F.desc(c) for c in by])
+    row = F.struct("page_id", "host", "path", "marks", "size")
+    ranges, down = Window.orderBy("part"), Window.orderBy(F.desc("part"))  # a row a range
+    ends = lines.groupBy("part").agg(F.max_by(row, F.struct(*by)).alias("end"))
+    ends = ends.select("part", F.lag("end").over(ranges).alias("end"))
+    near = lines.withColumn("previous", F.lag(row).over(order))
+    near = near.where("previous IS NOT NULL").unionByName(near.where("previous IS NULL").drop("previous").join(ends, "part").withColumnRenamed("end", "previous"))
+    schema = near.schema.simpleString()[len("struct<") : -1]
+    runs = cut(near.mapInPandas(_runs, schema + ",like:boolean"), "runs")
+    # wrapped, as the page before a run may be none
+    begins = F.when(~F.col("like"), F.struct(F.col("previous").alias("page")))
+    runs = runs.withColumns({
+        "before": F.last(begins, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.last(F.when(~F.col("like"), row), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    edge = runs.groupBy("part").agg(F.max_by("before", F.struct(*by)).alias("b"), F.min_by(row, F.struct(*by)).alias("head"), F.min_by("like", F.struct(*by)).alias("on"), F.min_by("after", F.struct(*by)).alias("a"))
+    edge = edge.select(
+        "part",
+        F.last("b", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("b"),
+        F.last(F.when(F.col("on"), F.col("a")).otherwise(F.col("head")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("a"),
+    )
+    inner = runs.where("before IS NOT NULL AND after IS NOT NULL")
+    outer = runs.where("before IS NULL OR after IS NULL").join(edge, "part").withColumns({"before": F.coalesce("before", "b"), "after": F.coalesce("after", "a")})
+    both = inner.unionByName(outer.select(*inner.columns)).withColumn("before", F.col("before.page"))
     return both.select("page_id", "url", "host", "path", "text", "marks", "before", "after").mapInPandas(_differ, "page_id string, url string, text string")
 
 

@@ -92,6 +92,26 @@ def test_html_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_no_evidence_of_furniture(spark):
+    long = lambda x: "".join(f"<p>{x} paragraph {i}, of some length and with words of its own</p>" for i in range(6))
+    site = lambda x: page(f"<div>Site slogan</div>{x}<div>Imprint</div>")
+    own = lambda x: "\n".join(f"{x} paragraph {i}, of some length and with words of its own" for i in range(6))
+    copies = [(i, f"http://h/a/b?x={i}", site(long("copied"))) for i in range(10, 90)] + [(90, "http://h/a/b?x=5print", page(long("copied")))]
+    given = [*copies, (1, "http://h/c/1", site(long("one"))), (2, "http://h/0/2", site(long("two"))), (3, "http://twins/x?1", site(long("twin"))), (4, "http://twins/x?2", site(long("twin")))]
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    for parts in ("4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            text = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(text) == len(given) and all(text[i] == own("copied") for i in range(10, 91))
+        assert text[1] == own("one") and text[2] == own("two")
+        assert text[3] == text[4] == "Site slogan\n" + own("twin") + "\nImprint"
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):

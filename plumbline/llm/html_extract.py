@@ -11,8 +11,8 @@ and every block gets a standing from the elements it is in:
 Nearest-URL page differencing settles what markup leaves open. Pages without an article are sorted by host and URL path,
 and each is paired with its neighbour on the same host, the one before or after it that shares the longer path prefix.
 The lines of the two are aligned by longest common subsequence, and the lines they share are deleted: menus, slogans and
-other furniture recur, the text does not. Lines inside an article are never deleted, so mirrored articles stay whole;
-a page whose markup names an article (or main) element needs no partner.
+other furniture recur, the text does not. Lines inside an article are never deleted, so mirrored articles stay whole.
+What counts is a block that is in: a page with an empty article, or one named in a script or a comment, is paired too.
 
 Copies are no evidence of furniture. Two pages are alike if the lines they share have LIKE of the characters of the
 shorter one (copies, mirrors, print views; rows of one page_id too). Pages that follow each other and are alike form a
@@ -168,24 +168,20 @@ def common_lines(a: list, b: list) -> set[int]:
     return out
 
 
-def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages whose markup names an article: their text is what it holds, or else all that isn't out."""
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A page's text: what its article holds, or else all that isn't out; in the latter case with a mark for every line."""
+    import xxhash
+
     for b in batches:
-        text = []
+        text, marks, size = [], [], []
         for html in b["html"]:
             found = blocks(html)
             inside = [x for x, standing in found if standing == IN]
-            text.append("\n".join(inside or [x for x, _ in found]))
-        yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text})
-
-
-def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
-    for b in batches:
-        found = [[x for x, _ in blocks(html)] for html in b["html"]]
-        marks = [[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63 for x in f] for f in found]
-        yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "path": b["path"], "text": ["\n".join(f) for f in found], "marks": marks})
+            lines = inside or [x for x, _ in found]
+            text.append("\n".join(lines))
+            marks.append(None if inside or not lines else [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63 for x in lines])
+            size.append(sum(map(len, lines)))
+        yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "marks": marks, "size": size})
 
 
 def _evidence(page: str | None, text: str, marks: list, other) -> set[int] | None:
@@ -222,13 +218,11 @@ def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def differenced(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of pages(page_id, url, html) without an article: open lines, less those of the neighbour."""
+    """page_id, url, text of pages(page_id, url, text, marks, size) without an article: open lines, less those of the neighbour."""
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    placed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
-    lines = placed.mapInPandas(_open, "page_id string, url string, host string, path string, text string, marks array<long>")
-    lines = lines.withColumn("size", F.char_length(F.replace("text", F.lit("\n"), F.lit(""))).cast("long"))
+    lines = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "text", "marks", "size")
     by = ["host", "path", "url", "page_id", "text"]
     # ranges of the sorted pages, of even size whatever a host's share; then the page before, within and across ranges
     lines = cut(lines.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "lines")
@@ -262,7 +256,7 @@ def differenced(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages(page_id, url, html)."""
     pages = clashing(pages, ["page_id", "url", "html"]).withColumn("page_id", F.col("page_id").cast("string"))
-    named = F.coalesce(F.col("html").rlike("(?i)<(article|main)[\\s>/]"), F.lit(False))
-    own = pages.where(named).mapInPandas(_own, "page_id string, url string, text string")
-    out = own.unionByName(differenced(pages.where(~named)))
+    read = cut(pages.mapInPandas(_read, "page_id string, url string, text string, marks array<long>, size long"), "pages")
+    own = read.where("marks IS NULL").select("page_id", "url", "text")
+    out = own.unionByName(differenced(read.where("marks IS NOT NULL")))
     return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

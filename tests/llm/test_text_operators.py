@@ -112,6 +112,13 @@ def test_copies_are_no_evidence_of_furniture(spark):
         assert text[3] == text[4] == "Site slogan\n" + own("twin") + "\nImprint"
 
 
+def test_pages_that_only_name_an_article_are_differenced(spark):
+    odd = ["<article></article>", "<!-- <article> -->", "<script>var x = '<main >'</script>", "<article hidden>no</article>"]
+    given = [(i, f"http://h/{i}", page(f"<div>Site slogan</div>{x}<div>text number {i}</div><div>Imprint</div>")) for i, x in enumerate(odd)]
+    got = html_extract.extract(spark.createDataFrame(given, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"text number {i}" for i in range(len(odd))}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):

@@ -4,7 +4,8 @@ A page's markup is read once, in order, into blocks (paragraphs, headings, list
 and every block gets a standing from the elements it is in:
 
 * out - inside navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader
-  comments and the like, by element, role, class or id;
+  comments and the like, by element, role, class or id (inside an article a word of FURNITURE in a class or id counts
+  only if it is the whole name or stands in a compound with COMPANIONS, and headings count by element or role alone);
 * in - inside the article (an `article` element, or `main` where there is none), and not out;
 * open - anywhere else.
 
@@ -54,6 +55,14 @@ FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter "
     "notice notices notification overlay pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside one of FURNITURE in the name of an element inside an article that is not its text.
+COMPANIONS = frozenset(
+    "area articles bar block body bottom box btn button buttons container content count entries form global group icon icons inline inner item items left link links list main module more nav outer page panel post posts right row section site stories "
+    "story tag thread title tools top wrap wrapper".split()
+)
+#: A header inside an article is its own, unless it names one of these.
+SITE = frozenset("global menu nav navbar navigation site top".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: An element that ends an open one, as in browsers.
@@ -62,6 +71,15 @@ IN, OPEN = 1, 0
 LIKE = 0.9
 
 
+def furniture(name: str) -> bool:
+    """Whether a class or id names furniture inside an article."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    heads = words & {"header", "masthead"}
+    if not words & FURNITURE or not words <= FURNITURE | COMPANIONS | SITE:
+        return False
+    return bool(words & SITE) if heads else True
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -101,7 +119,8 @@ class _Page(HTMLParser):
         own = tag in NEVER or tag in OUT and not (tag == "header" and article) or (named.get("role") or "").lower() in ROLES
         own = own or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true"
         if not own and tag not in ("html", "body", "article", "main"):
-            own = any(w.lower() in FURNITURE for k in ("class", "id") if named.get(k) for w in _WORDS.findall(named[k]))
+            names = [x for k in ("class", "id") if named.get(k) for x in named[k].split()]
+            own = any(furniture(x) for x in names) if article and tag not in HEADINGS else not article and any(w.lower() in FURNITURE for x in names for w in _WORDS.findall(x))
         self.stack.append((tag, article, out or own))
         self.now = (0, article, out or own)
 

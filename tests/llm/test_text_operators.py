@@ -119,6 +119,15 @@ def test_pages_that_only_name_an_article_are_differenced(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"text number {i}" for i in range(len(odd))}
 
 
+def test_names_inside_an_article():
+    kept = ["<header class='entry-header'><h1>t</h1></header>", "<div class='article-header'>t</div>", "<section id='related-work'>t</section>", "<p class='social-history'>t</p>", "<h2 class='header'>t</h2>", "<p class='price share-price'>t</p>", "<div class='header'>t</div>"]
+    gone = ["<div class='related'>t</div>", "<div id='comments'>t</div>", "<div class='x share-buttons'>t</div>", "<div class='related-posts'>t</div>", "<div class='siteHeader'>t</div>", "<ul class='social-links'><li>t</ul>", "<div class='ad-container'><h2>t</h2></div>"]
+    for tag in ("article", "main"):
+        assert [html_extract.blocks(f"<{tag}>{x}</{tag}>") for x in kept] == [[("t", html_extract.IN)]] * len(kept)
+        assert [html_extract.blocks(f"<{tag}>{x}</{tag}>") for x in gone] == [[]] * len(gone)
+    assert html_extract.blocks("<div class='related-work'>t</div>") == []  # no article: as before
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):

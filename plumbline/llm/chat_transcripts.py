@@ -149,18 +149,22 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 def blocks(rows: DataFrame) -> DataFrame:
     """conv_id, chunk, sub, rows: the rows of a conversation by ranges of SPAN turns; a range with more than CROWD rows
-    (of the same turns) is split further by a hash, so no block grows with the data."""
+    is split further by ranges of (turn, lines, role), so no block grows with the data and (chunk, sub) keeps the order."""
     chunk = F.floor(F.coalesce("turn", F.lit(-1)) / SPAN)
-    rows = rows.withColumns({"chunk": chunk, "h": F.xxhash64(F.col("turn"), F.col("lines"))})
-    full = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("c")).where(F.col("c") > CROWD)
-    crowded = full.select(F.col("conv_id").alias("cc"), F.col("chunk").alias("ck"), F.ceil(F.col("c") / F.lit(CROWD)).alias("of"))
-    placed = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("chunk") == F.col("ck")), "left")
-    placed = placed.withColumn("sub", F.coalesce(F.pmod("h", "of"), F.lit(0)))
+    rows = rows.withColumn("chunk", chunk)
+    full = cut(rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select(F.col("conv_id").alias("cc"), F.col("chunk").alias("ck"), "c"), "chat-crowded")
+    crowd = full.agg(F.sum("c")).first()[0]
+    placed = rows.withColumn("sub", F.lit(0).cast("long"))
+    if crowd:
+        key = F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("chunk") == F.col("ck"))
+        dense = rows.join(full, key, "left_semi").repartitionByRange(-(-crowd // CROWD), "conv_id", "chunk", "turn", "lines", "role")
+        placed = placed.join(full, key, "left_anti").unionByName(dense.withColumn("sub", F.spark_partition_id().cast("long")))
     return placed.groupBy("conv_id", "chunk", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "lines", "role"))).alias("rows"))
 
 
 def train(blocked: DataFrame) -> Model:
-    """Counts over the lines of rows whose role is known; every block counts its rows, and Spark sums the counts."""
+    """Counts over the lines of rows whose role is known; every block counts its rows, and Spark sums the counts. Where a
+    conversation goes on in another block, the step between the two is a move, not a start."""
     s = len(STATES)
     index = {x: i for i, x in enumerate(STATES)}
 
@@ -188,7 +192,15 @@ def train(blocked: DataFrame) -> Model:
     total = np.zeros(s + s * s + s * SYMBOLS)
     for r in summed:
         total[r["at"]] = r["n"]
-    return Model(total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s :].reshape(s, SYMBOLS))
+    start, move, emit = total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s :].reshape(s, SYMBOLS)
+    ends = blocked.select("conv_id", "chunk", "sub", F.col("rows")[0]["role"].alias("head"), F.element_at("rows", -1).alias("last"))
+    ends = ends.select("conv_id", "chunk", "sub", "head", F.struct(F.col("last.role").alias("role"), (F.size("last.lines") == 1).alias("begins")).alias("tail"))
+    steps = ends.withColumn("tail", F.lag("tail").over(Window.partitionBy("conv_id").orderBy("chunk", "sub")))
+    for r in steps.where("head IS NOT NULL AND tail.role IS NOT NULL").groupBy("head", "tail").count().collect():
+        head = index[r["head"], True]
+        start[head] -= r["count"]
+        move[index[r["tail"]["role"], r["tail"]["begins"]], head] += r["count"]
+    return Model(start, move, emit)
 
 
 def _render(rows, states: list[int]) -> list[tuple]:

@@ -107,6 +107,30 @@ def test_chat_blocks_do_not_change_the_path(spark, monkeypatch):
         assert role(cut) == role(whole)
 
 
+def test_crowded_turns_keep_their_order(spark, monkeypatch):
+    rng = np.random.default_rng(91)
+    roles = ["user", "assistant", None]
+    given = [(conv, turn, roles[rng.integers(3)], "\n".join(f"line {rng.integers(10**6)} {'?' if rng.integers(2) else '.'}" for _ in range(rng.integers(1, 4)))) for conv in (7, None) for turn in (None, 0, 1, 2, 3000) for _ in range(40)]
+    rows = chat_transcripts.written(spark.createDataFrame([*given, (8, 0, "user", "alone")], "conv_id long, turn long, role string, text string"))
+
+    def sequence():
+        found = sorted(chat_transcripts.blocks(rows).collect(), key=lambda r: (r["conv_id"] or 0, r["chunk"], r["sub"]))
+        out = {}
+        for r in found:
+            out.setdefault(r["conv_id"], []).extend(r["rows"])
+        return out, max(len(r["rows"]) for r in found), len(found)
+
+    def recovered():
+        return sorted((str(r["conv_id"]), str(r["turn"]), r["role"]) for r in chat_transcripts.parse(rows).collect() if r["opens"])
+
+    whole, model, turns = sequence(), chat_transcripts.train(chat_transcripts.blocks(rows)), recovered()
+    monkeypatch.setattr(chat_transcripts, "CROWD", 8)
+    split, other = sequence(), chat_transcripts.train(chat_transcripts.blocks(rows))
+    assert split[0] == whole[0] and split[1] < 40 and split[2] > whole[2]
+    assert (model.start == other.start).all() and (model.move == other.move).all() and (model.emit == other.emit).all()
+    assert recovered() == turns
+
+
 def test_chat_cases(spark):
     rows = [(1, 0, " USER ", "hi?"), (1, 1, "assistant", "a\nb"), (1, 1, "assistant", "a\nb"), (2, 0, None, "User: x"), (2, 1, "alien", None), (None, None, "system", ""), (3, 0, "user", "y" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS rows", "2 AS chunk")

@@ -9,10 +9,10 @@ Round one scores each query against the FIRST blocks of the largest bounds, whic
 Round two scores the blocks whose bound is not below that: a block that is skipped can't hold a better or equal score,
 so the result is exact, ties included. Bounds come from the table of block summaries, a few numbers for each BLOCK
 vectors; it is read in slices of SLICE blocks at a time, so no task holds more. Scores are products of integer
-matrices, in doubles while every sum stays below 2**53 and in 64-bit integers otherwise.
+matrices, in doubles while every sum stays below 2**53, in 64-bit integers below 2**62 and in Python's integers beyond.
 
-Defined cases: null vectors and vectors with null or non-finite components take no part; a component whose integer is
-beyond +-2**26 counts as +-2**26; vectors of another dimension than the query's aren't its candidates; repeated rows
+Defined cases: null vectors and vectors with null or non-finite components take no part; a component or a score that is
+no 64-bit integer is an error, as in the SQL; vectors of another dimension than the query's aren't its candidates; repeated rows
 are candidates and queries as often as they occur, but a query is never its own candidate (rows with the query's id are
 left out); null ids take no part; fewer than k candidates give fewer rows; an empty table gives none; extra columns are
 ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import clashing, cut
 
 BLOCK, QUERIES, FIRST, SLICE = 2048, 512, 2, 4096
-LIMIT = 2.0**26
+_LEAST = int(np.iinfo(np.int64).min)
 _BLOCK_ROW = "block long, dim int, n int, ids binary, matrix binary, hi binary, lo binary"
 
 
@@ -38,7 +38,8 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
     """id and v (array of long) of the vectors that take part."""
     v = clashing(vectors, ["vec_id", "embedding"]).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform("e", lambda x: F.least(F.greatest(F.floor(F.least(F.greatest(x * F.lit(float(scale)), F.lit(-LIMIT)), F.lit(LIMIT))), F.lit(-int(LIMIT))), F.lit(int(LIMIT))))
+    wide = lambda x: F.abs(x * F.lit(float(scale))) >= F.lit(2.0**63)
+    whole = F.transform("e", lambda x: F.when(wide(x), F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")).otherwise(F.floor(x * F.lit(float(scale)))))
     return v.where("id IS NOT NULL AND e IS NOT NULL").where(sound).select("id", whole.alias("v"))
 
 
@@ -53,7 +54,9 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         def block(dim: int) -> pd.DataFrame:
             nonlocal made
             ids, m = wait.pop(dim)
-            matrix = np.array(m, np.int32).reshape(len(ids), dim)
+            matrix = np.array(m, np.int64).reshape(len(ids), dim)
+            if matrix.min(initial=0) >= -(2**31) and matrix.max(initial=0) < 2**31:
+                matrix = matrix.astype(np.int32)
             edge = (matrix.max(0), matrix.min(0))
             made += 1
             return pd.DataFrame([[part << 32 | made, dim, len(ids), np.array(ids, np.int64).tobytes(), matrix.tobytes(), edge[0].tobytes(), edge[1].tobytes()]], columns=["block", "dim", "n", "ids", "matrix", "hi", "lo"])
@@ -72,18 +75,20 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return spread.mapInPandas(run, _BLOCK_ROW)
 
 
-def _unpack(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int32).reshape(-1, dim) if dim else np.zeros((0, 0), np.int32)
+def _unpack(raw: bytes, dim: int, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * dim else np.int64).reshape(n, dim)
 
 
 def product(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """q @ m.T as exact 64-bit integers."""
+    """q @ m.T as exact integers: of 64 bits, or Python's where a sum may not fit."""
     if not q.shape[1]:
         return np.zeros((len(q), len(m)), np.int64)
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * q.shape[1]
+    most = [max(float(x.max(initial=0)), -float(x.min(initial=0))) for x in (q, m)]
+    top = most[0] * most[1] * q.shape[1]
     if top < 2**53:
         return (q.astype(np.float64) @ m.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ m.astype(np.int64).T
+    kind = np.int64 if top < 2**62 else object
+    return q.astype(kind) @ m.astype(kind).T
 
 
 def bounds(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -107,14 +112,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for r in b.itertuples(index=False):
-                    q = _unpack(r.q, r.dim) if r.dim else np.zeros((len(r.qids) // 8, 0), np.int32)
+                    q = _unpack(r.q, r.dim, len(r.qids) // 8)
                     block = np.array([x["block"] for x in r.s], np.int64)
-                    hi = np.vstack([np.frombuffer(x["hi"], np.int32) for x in r.s])
-                    lo = np.vstack([np.frombuffer(x["lo"], np.int32) for x in r.s])
+                    hi = np.vstack([_unpack(x["hi"], r.dim, 1) for x in r.s])
+                    lo = np.vstack([_unpack(x["lo"], r.dim, 1) for x in r.s])
                     bound = bounds(q, hi, lo)
                     if kth:
                         need = np.frombuffer(r.kth, np.int64)[:, None]
-                        want = bound >= need
+                        want = (bound >= need) | (need == _LEAST)
                         done = np.frombuffer(r.done, np.int64).reshape(len(q), -1)
                         for j in range(done.shape[1]):
                             want &= block[None, :] != done[:, j : j + 1]
@@ -138,16 +143,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
                 for r in b.itertuples(index=False):
                     at, ids = np.frombuffer(r.rows, np.int32), np.frombuffer(r.ids, np.int64)
                     qids = np.frombuffer(r.qids, np.int64)
-                    q = _unpack(r.q, r.dim) if r.dim else np.zeros((len(qids), 0), np.int32)
-                    m = _unpack(r.matrix, r.dim) if r.dim else np.zeros((len(ids), 0), np.int32)
+                    q = _unpack(r.q, r.dim, len(qids))
+                    m = _unpack(r.matrix, r.dim, len(ids))
                     s = product(q, m)
                     own = qids[:, None] == ids[None, :]
                     # ids ascend in a block, so a stable order leaves ties to the smaller id
-                    s_out = np.where(own, np.iinfo(np.int64).min, s)
+                    s_out = np.where(own, _LEAST if s.dtype != object else min(_LEAST, s.min()) - 1, s)
                     best = np.argsort(-s_out.astype(np.float64) if np.abs(s).max(initial=0) < 2**53 else ~s_out, axis=1, kind="stable")[:, :k]
                     fine = ~np.take_along_axis(own, best, 1)
                     row = np.broadcast_to(at[:, None], best.shape)[fine]
-                    yield pd.DataFrame({"asked": r.asked, "row": row, "query_id": np.broadcast_to(qids[:, None], best.shape)[fine], "vec_id": ids[best][fine], "score": np.take_along_axis(s, best, 1)[fine]})
+                    score = np.take_along_axis(s, best, 1)[fine]
+                    if s.dtype == object and any(not _LEAST <= x < 2**63 for x in score):
+                        raise ValueError("a score is beyond 64 bits")
+                    yield pd.DataFrame({"asked": r.asked, "row": row, "query_id": np.broadcast_to(qids[:, None], best.shape)[fine], "vec_id": ids[best][fine], "score": score.astype(np.int64)})
 
         return plan.join(blocks.select("block", "dim", "ids", "matrix"), "block").mapInPandas(run, "asked long, row int, query_id long, vec_id long, score long")
 
@@ -161,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         for b in batches:
             for r in b.itertuples(index=False):
                 n = len(r.qids) // 8
-                low = np.full(n, np.iinfo(np.int64).min, np.int64)
+                low = np.full(n, _LEAST, np.int64)
                 for x in r.known if r.known is not None else ():
                     if x["found"] >= k:
                         low[x["row"]] = x["low"]

@@ -60,6 +60,27 @@ def test_products_stay_exact():
     assert topk.product(big, big)[0, 0] == 8 * 2**52
 
 
+def test_large_components_are_not_cut(spark, monkeypatch):
+    rng = np.random.default_rng(66)
+    size = [1.0, 2.0**19, 2.0**20, 2.0**21, 2.0**21, 2.0**21, 2.0**18]
+    rows = [(i, [float(x) for x in rng.normal(0, size[i % 7], 4)]) for i in range(300)] + [(400, [2.0**23, -(2.0**23), 0.0, 0.0]), (401, [2.0**23 + 1, 2.0**23, 0.0, 0.0])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    want = [w for w in want if abs(w[3]) < 2**63]
+    asked = sorted({w[0] for w in want if sum(x[0] == w[0] for x in want) == 5})
+    assert asked and max(abs(w[3]) for w in want) > 2**58
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 37)
+    assert sorted(map(tuple, topk.top_k(df, F.col("id").isin(asked)).collect())) == sorted(w for w in want if w[0] in asked)
+    far = np.array([[2**62, -(2**62), 3]])
+    assert topk.product(far, far)[0, 0] == 2**125 + 9
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**60]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
+
+
 # 9 --------------------------------------------------------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import clashing, cut
+from plumbline.llm.common import clashing, cut, keys, longs
 
 #: Turns of a block, rows of a crowded one, blocks folded at once.
 SPAN, CROWD, GROUP = 1024, 4096, 1024
@@ -238,7 +238,7 @@ def parse(rows: DataFrame, model: Model | None = None) -> DataFrame:
     def frame(conv, rows, states) -> pd.DataFrame:
         out = pd.DataFrame(_render(rows, states), columns=["turn", "role", "opens", "rendered"])
         out.insert(0, "conv_id", conv)
-        return out.astype({"conv_id": "Int64", "turn": "Int64"})
+        return out.assign(conv_id=longs(out["conv_id"]), turn=longs(out["turn"]))
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +53,35 @@ def file_system(uri: str):
 
 def clashing(df: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep only; names are taken exactly (a column `TEXT` beside `text` doesn't clash)."""
-    out = []
-    for name in keep:
-        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not at:
-            raise ValueError(f"column {name!r} is missing; there are {df.columns}")
-        out.append(at[0])
-    if len({c.lower() for c in df.columns}) < len(df.columns):
-        df = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-        return df.select(*[F.col(f"_{i}").alias(n) for i, n in zip(out, keep, strict=True)])
-    return df.select(*[F.col(f"`{df.columns[i]}`").alias(n) for i, n in zip(out, keep, strict=True)])
+    at = [place_of(df, name) for name in keep]
+    plain = unique_names(df)
+    return plain.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, keep, strict=True)])
+
+
+def unique_names(df: DataFrame) -> DataFrame:
+    """df with the columns _0, _1, ...: names that differ in case only, or not at all, can then be told apart."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Place of a column, taken exactly where there is one and without regard to case otherwise."""
+    at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"column {name!r} is missing; there are {df.columns}")
+    return at[0]
+
+
+def keys(df: DataFrame, *names: str) -> DataFrame:
+    """df with these long columns as strings. A long column with a null reaches pandas as doubles, which lose the low bits
+    of large ids; strings come through whole, and `longs` turns them back."""
+    return df.withColumns({n: F.col(n).cast("long").cast("string") for n in names})
+
+
+def longs(values) -> pd.api.extensions.ExtensionArray:
+    """A nullable column of whole numbers from strings, ints and nulls, exact over all 64 bits."""
+    found = [None if x is None or x is pd.NA or x != x else int(x) for x in values]
+    data = np.fromiter((0 if x is None else x for x in found), np.int64, len(found))
+    return pd.arrays.IntegerArray(data, np.fromiter((x is None for x in found), bool, len(found)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import clashing
+from plumbline.llm.common import clashing, keys, longs, place_of, unique_names
 from plumbline.llm.shingles import WORDS, WordHashes, overlap, shingle_set, split_words, windows
 
 THRESHOLD = 75  # percent
@@ -123,7 +123,7 @@ def _shipped(items: DataFrame, threshold: int):
 
 def find(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment of every document of docs(doc_id, text) and item it holds."""
-    docs = clashing(docs, ["doc_id", "text"])
+    docs = keys(clashing(docs, ["doc_id", "text"]), "doc_id")
     out = None
     for block in blocks(items):
         sent, limit = _shipped(block, threshold)
@@ -132,7 +132,8 @@ def find(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataF
             index, memo = Items(sent.value, limit), WordHashes()
             for b in batches:
                 rows = [(doc, item, both, n, both / n) for doc, text in zip(b["doc_id"], b["text"], strict=True) for item, both, n in index.held(text, memo)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "shared", "item_shingles", "containment"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "shared", "item_shingles", "containment"])
+                yield out.assign(doc_id=longs(out["doc_id"]), item_id=longs(out["item_id"]))
 
         part = docs.mapInPandas(search, RESULT)
         out = part if out is None else out.unionByName(part)
@@ -140,20 +141,23 @@ def find(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataF
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.shared", "best.item_shingles", "best.containment")
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text holds no item; columns are unchanged."""
-    names = docs.columns
-    at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
-    for block in blocks(items):
-        sent, limit = _shipped(block, threshold)
+def _free(sent, threshold: int):
+    """Whether each text holds no item of one block."""
 
-        def drop(batches: Iterator[pd.DataFrame], sent=sent, limit=limit) -> Iterator[pd.DataFrame]:
-            index, memo = Items(sent.value, limit), WordHashes()
-            for b in batches:
-                yield b[[not index.held(t, memo) for t in b.iloc[:, at]]]
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index, memo = Items(sent.value, threshold), WordHashes()
+        for texts in batches:
+            yield pd.Series([not index.held(t, memo) for t in texts], dtype=bool)
 
-        docs = docs.mapInPandas(drop, docs.schema)
-    return docs
+    return F.pandas_udf(run, "boolean")
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text holds no item; only texts go through Python, so all columns are unchanged."""
+    plain, text = unique_names(docs), f"_{place_of(docs, 'text')}"
+    for block in blocks(items):
+        plain = plain.where(_free(*_shipped(block, threshold))(F.col(text)))
+    return plain.toDF(*docs.columns)
 
 
 #: The same by plain joins of distinct shingles, for a second engine.

@@ -30,7 +30,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import clashing
+from plumbline.llm.common import clashing, keys, longs
 
 THRESHOLD = 80  # percent
 LONG = 16  # words
@@ -230,9 +230,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: i
         known = Templates(templates, threshold)
         for b in batches:
             rows = [(doc, *hit) for doc, text in zip(b["doc_id"], b["text"], strict=True) for hit in known.scan(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "template", "dice"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "line", "template", "dice"])
+            yield out.assign(doc_id=longs(out["doc_id"]))
 
-    return clashing(docs, ["doc_id", "text"]).mapInPandas(run, "doc_id long, line int, template string, dice double")
+    return keys(clashing(docs, ["doc_id", "text"]), "doc_id").mapInPandas(run, "doc_id long, line int, template string, dice double")
 
 
 def sql(templates: Mapping[str, str] = TEMPLATES, threshold: int = THRESHOLD) -> str:

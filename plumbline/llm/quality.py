@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import clashing, cut
+from plumbline.llm.common import clashing, cut, keys, longs, place_of, unique_names
 
 FOLDS, CALIBRATION_FOLD = 5, 4
 FEATURES, RIDGE, BINS, CUT = 192, 1e-2, 1024, 0.3
@@ -101,9 +101,9 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]]}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": longs(b["doc_id"]), "x": [statistics(t) for t in b["text"]]})
 
-    docs = clashing(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = keys(clashing(docs, ["doc_id", "text"]), "doc_id")
     return docs.mapInPandas(run, "doc_id long, x array<double>")
 
 
@@ -166,20 +166,19 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = model.score(np.vstack(b["x"])) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= CUT).astype(int)})
+            yield pd.DataFrame({"doc_id": longs(b["doc_id"]), "score": s, "predicted": (s >= CUT).astype(int)})
 
-    scored = measured.mapInPandas(run, "doc_id long, score double, predicted int")
+    scored = keys(measured, "doc_id").mapInPandas(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs predicted 1; columns are unchanged. The texts are read twice and never shuffled."""
+    """The rows of docs predicted 1. The texts are read twice and never shuffled; only texts go through Python, so all
+    columns are unchanged."""
     model = fit(measure(docs), labels)
-    at = docs.columns.index("text")
+    plain, text = unique_names(docs), f"_{place_of(docs, 'text')}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b[model.score(np.array([statistics(t) for t in b.iloc[:, at]])) >= CUT]
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATS))) >= CUT, dtype=bool)
 
-    return docs.mapInPandas(run, docs.schema)
+    return plain.where(F.pandas_udf(good, "boolean")(F.col(text))).toDF(*docs.columns)

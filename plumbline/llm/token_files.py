@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import clashing, cut, file_system, new_folder
+from plumbline.llm.common import clashing, cut, file_system, longs, new_folder
 
 SCALE, LANES, BLOCK, TOGETHER = 20, 32, 16_384, 64
 FILE_IDS, MEMO, END = 4_000_000, 800_000, 1
@@ -312,7 +312,7 @@ def token_ids(index: DataFrame, folder: str) -> DataFrame:
                             n = int(reader.docs["n"][doc])
                             out.append((None if reader.docs["null"][doc] else int(reader.docs["id"][doc]), wait[:n].astype(np.int64)))
                             wait, doc = wait[n:], doc + 1
-                        yield pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+                        yield pd.DataFrame({"doc_id": longs(d for d, _ in out), "ids": [x for _, x in out]})
 
     return _spread(index.select("file")).mapInPandas(run, "doc_id long, ids array<long>")
 

@@ -14,7 +14,9 @@ counts and ``PLT1`` again. Files are written to the shared folder under a new na
 with a row for each file, names those that count.
 
 Encoding is the tokenizers library's, word by word: the tokenizer drops white space, and no id spans it, so the ids of
-a text are those of its words split at ASCII white space. A worker remembers words and word parts, MEMO of each.
+a text are those of its words split at ASCII white space. Texts of about TEXTS bytes are split together as Arrow arrays,
+each of their distinct words is encoded once, and the ids are strung together by the words' numbers. A task remembers
+MEMO word parts at most.
 
 Defined cases: a null or empty text has only the end id; repeated rows are repeated documents, ordered by text; a null
 doc_id sorts first; an empty table gives no files and no rows; extra columns are ignored.
@@ -24,24 +26,26 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import clashing, cut, file_system, longs, new_folder
 
 SCALE, LANES, BLOCK, TOGETHER = 20, 32, 16_384, 64
-FILE_IDS, MEMO, END = 4_000_000, 800_000, 1
+FILE_IDS, TEXTS, MEMO, END = 4_000_000, 8_000_000, 400_000, 1
 INDEX = "file string, first_doc long, first_null boolean, place int, ids long, docs long"
 MAGIC = b"PLT1"
 _LOW = np.uint64(2**31)
+_DOC = [("id", "<i8"), ("null", "u1"), ("n", "<u4")]
 #: Letters of ASCII and Latin-1 that are one code point in every normal form, with the signs of ASCII: on words of these
 #: alone the tokenizer's normaliser and splitting are the two lines below.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -51,13 +55,14 @@ _SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SIGN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
-class Words(dict):
-    """ids of each word (both as bytes), by the library; `parts` remembers the pieces that plain words are made of."""
+class Words:
+    """ids of words (as bytes), by the library; `parts` remembers the pieces that plain words are made of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
         # only this normaliser and pre-tokenizer are known to act on a plain word as _PART does
         shape = (str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)).replace("\\\\", "\\")
@@ -69,32 +74,32 @@ class Words(dict):
             if len(self.parts) >= MEMO:
                 self.parts.clear()
             spelled = text if text.isascii() else text.encode().decode("latin-1").translate(_SIGN)
-            ids = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+            ids = self.parts[text] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        text = word.decode("utf-8", "surrogatepass")
+    def word(self, text: str) -> bytes:
+        if self.plain and text.isascii() and text.isalpha():
+            return self.part(text.lower())
         if self.plain and "<|" not in text and _PLAIN.fullmatch(text):
-            out = b"".join(map(self.part, _PART.findall(text.lower())))
-        else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
-        return out
-
-
-def words(path: str) -> Words:
-    """The worker's memo for a tokenizer file; it outlives a task, as workers do."""
-    kept = sys.modules.setdefault("_plumbline_words", types.ModuleType("_plumbline_words"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.memo = path, Words(path)
-    return kept.memo
-
-
-def encode_text(text: str | None, memo: Words, end: int = END) -> np.ndarray:
-    found = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.frombuffer(b"".join(map(memo.__getitem__, found)) + struct.pack("<I", end), "<u4")
+            return b"".join(map(self.part, _PART.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def encode_texts(texts: pa.Array, memo: Words, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts (not null), each with the end id, one after the other, and how many each has."""
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    coded = [memo.word(w) for w in words.dictionary.to_pylist()] + [struct.pack("<I", end)]
+    n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    flat, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(n) - n
+    # the end id is a word too, after the last one of each text
+    of = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    ends = np.cumsum(of + 1) - 1
+    places = np.full(len(words) + len(texts), len(coded) - 1, np.int32)
+    places[np.delete(np.arange(len(places)), ends)] = words.indices.to_numpy()
+    k = n[places]
+    ids = flat[np.arange(int(k.sum())) + np.repeat(first[places] - (np.cumsum(k) - k), k)]
+    return ids, np.diff(np.cumsum(k)[ends], prepend=0)
 
 
 def scaled(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +173,8 @@ def decode_blocks(coded: np.ndarray, first: np.ndarray, sizes: np.ndarray, state
     return symbols[np.concatenate([flat[i, :n] for i, n in enumerate(sizes)])]
 
 
-def to_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """A file of documents (doc_id, ids)."""
-    ids = np.concatenate([x for _, x in docs])
+def to_file(docs: np.ndarray, ids: np.ndarray) -> bytes:
+    """A file of documents, as rows of _DOC, and their ids."""
     symbols, freq = scaled(ids)
     coded, counts, sizes, states = encode_blocks(ids, symbols, freq)
     sums = [zlib.crc32(ids[i * BLOCK : i * BLOCK + n].astype("<u4").tobytes()) for i, n in enumerate(sizes)]
@@ -178,9 +182,7 @@ def to_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     table["id"], table["f"] = symbols, freq
     block = np.empty(len(sizes), [("first", "<u8"), ("n", "<u4"), ("crc", "<u4"), ("x", "<u8", LANES)])
     block["first"], block["n"], block["crc"], block["x"] = np.cumsum(counts) - counts, sizes, sums, states
-    doc = np.empty(len(docs), [("id", "<i8"), ("null", "u1"), ("n", "<u4")])
-    doc["id"], doc["null"], doc["n"] = [d or 0 for d, _ in docs], [d is None for d, _ in docs], [len(x) for _, x in docs]
-    tables = [zlib.compress(t.tobytes(), 1) for t in (table, block, doc)]
+    tables = [zlib.compress(t.tobytes(), 1) for t in (table, block, docs)]
     return MAGIC + coded.astype("<u4").tobytes() + b"".join(tables) + struct.pack("<7Q", len(coded), *map(len, tables), len(symbols), len(sizes), len(docs)) + MAGIC
 
 
@@ -201,7 +203,7 @@ class Reader:
         table = np.frombuffer(table, [("id", "<u4"), ("f", "<u4")])
         self.symbols, self.freq = table["id"].copy(), table["f"].astype(np.int64)
         self.blocks = np.frombuffer(block, [("first", "<u8"), ("n", "<u4"), ("crc", "<u4"), ("x", "<u8", LANES)])
-        self.docs = np.frombuffer(doc, [("id", "<i8"), ("null", "u1"), ("n", "<u4")])
+        self.docs = np.frombuffer(doc, _DOC)
         self.slots = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq)
 
     def ids(self, first: int = 0, last: int | None = None) -> Iterator[np.ndarray]:
@@ -223,35 +225,42 @@ class Reader:
             yield out
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int = END) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END) -> DataFrame:
     """Writes docs(doc_id, text) to files in folder; returns the index, a row for each file."""
     docs = clashing(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
-        memo, wait, size, place = words(tokenizer_path), [], 0, 0
+        memo, heads, wait, size, place = Words(tokenizer_path), [], [], 0, 0
 
-        def save() -> pd.DataFrame:
-            name = f"{uuid.uuid4().hex}.plt"
+        def save() -> pa.RecordBatch:
+            name, docs = f"{uuid.uuid4().hex}.plt", np.concatenate(heads)
             with fs.open_output_stream(f"{at}/{name}", compression=None) as f:
-                f.write(to_file(wait))
-            first = wait[0][0]
-            return pd.DataFrame([[name, first or 0, first is None, place, size, len(wait)]], columns=["file", "first_doc", "first_null", "place", "ids", "docs"])
+                f.write(to_file(docs, np.concatenate(wait)))
+            return pa.record_batch([[name], pa.array(docs["id"][:1]), pa.array(docs["null"][:1] > 0), pa.array([place], pa.int32()), [size], [len(docs)]], [c.split()[0] for c in INDEX.split(", ")])
 
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = encode_text(text, memo, end)
-                wait.append((None if doc is None else int(doc), ids))
-                size += len(ids)
+            texts = pc.fill_null(b.column("text"), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+            begin = 0
+            while begin < len(ends):
+                end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TEXTS)) + 1
+                some = b.column("doc_id")[begin:end]
+                ids, n = encode_texts(texts[begin:end], memo, end_id)
+                head = np.empty(len(some), _DOC)
+                head["id"], head["null"], head["n"] = pc.fill_null(some, 0).to_numpy(), some.is_null().to_numpy(zero_copy_only=False), n
+                heads.append(head)
+                wait.append(ids)
+                size, begin = size + len(ids), end
                 if size >= FILE_IDS:
                     yield save()
-                    wait, size, place = [], 0, place + 1
-        if wait:
+                    heads, wait, size, place = [], [], 0, place + 1
+        if heads:
             yield save()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.col("text").isNull().desc(), "text")
-    return cut(ordered.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, INDEX), "token-index")
+    return cut(ordered.mapInArrow(run, INDEX), "token-index")
 
 
 def placed(index: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def test_rans_blocks_and_checksums():
     rng = np.random.default_rng(5)
     for n in (1, 31, 5000, token_files.BLOCK * 3 + 17):
         docs_ = [(7, rng.zipf(1.3, n).clip(max=49_000).astype(np.uint32)), (None, np.array([1], np.uint32))]
-        raw = token_files.to_file(docs_)
+        raw = token_files.to_file(np.array([(d or 0, d is None, len(x)) for d, x in docs_], token_files._DOC), np.concatenate([x for _, x in docs_]))
 
         class File(io.BytesIO):
             def size(self, raw=raw):

@@ -6,8 +6,9 @@ set's elements: exponentially spaced truncated minima. Registers of a union are
 registers are equal with a probability that grows with the Jaccard similarity.
 
 1. Texts with the same set become one node (smallest doc_id), so any number of exact copies costs one node.
-2. BANDS bands of ROWS registers hash nodes to buckets. Round one compares every member of a bucket with one of its
-   members, drawn by a hash so that it differs from band to band: linear in the members, whatever the bucket's size.
+2. BANDS bands of ROWS registers hash nodes to buckets. Round one compares every member of a bucket with the member
+   that comes first in one random order of all nodes: linear in the members, whatever the bucket's size, and as the order
+   is the same in every band, the buckets of a family of copies mostly name the same few members.
 3. A pair is dropped if its similarity, estimated from the registers by maximum likelihood jointly with both known set
    sizes, is under the threshold by more than SIGMAS standard errors (or if the sizes alone rule it out). All other
    pairs are confirmed on the full sets.
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import clashing, cut
+from plumbline.llm.common import clashing, cut, keys, longs, place_of, unique_names
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import WordHashes, mix, overlap, shingle_set, split_words
 
@@ -121,7 +122,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.append(len(s))
             fp.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
             regs.append(registers(s).tobytes() if len(s) else None)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": n, "fp": fp, "regs": regs}).astype({"doc_id": "Int64"})
+        yield pd.DataFrame({"doc_id": longs(b["doc_id"]), "n_shingles": n, "fp": fp, "regs": regs})
 
 
 def _to_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,12 +188,13 @@ def _confirm(threshold: int):
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); see the module's text."""
     docs = clashing(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketched = cut(docs.mapInPandas(_sketch, "doc_id long, n_shingles long, fp binary, regs binary"), "sketches")
+    sketched = cut(keys(docs, "doc_id").mapInPandas(_sketch, "doc_id long, n_shingles long, fp binary, regs binary"), "sketches")
     # exact copies: one node a set, its smallest doc_id
     groups = cut(sketched.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
     nodes = groups.select("node", "n", "regs")
     bands = nodes.select("node", "regs").mapInPandas(_to_bands, "key long, node long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("key", "node")).alias("leader")).where("members > 1").select("key", "leader")
+    # written first: the join is then between two plain exchanges, and a bucket with very many members can be split
+    shared = cut(bands.groupBy("key").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("members > 1").select("key", "leader"), "leaders")
     members = cut(bands.join(shared, "key"), "buckets")
     involved = members.select("node").distinct()
     bodies = cut(
@@ -340,7 +342,10 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     from pyspark.sql import Window
 
     keep = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    found = docs.join(keep, docs["doc_id"].cast("long") == keep["_kept_id"], "inner")
+    plain, text = unique_names(docs), f"_{place_of(docs, 'text')}"
+    plain = plain.withColumn("_id", F.col(f"_{place_of(docs, 'doc_id')}").cast("long"))
+    found = plain.join(keep, F.col("_id") == F.col("_kept_id"), "inner")
     # repeated rows of a kept doc_id: the partition by id is already there
-    one = found.withColumn("_rank", F.row_number().over(Window.partitionBy("_kept_id").orderBy(docs["text"].isNull(), docs["text"])))
-    return one.where("_rank = 1").select(*[docs[c] for c in docs.columns]).unionByName(docs.where(docs["doc_id"].isNull()))
+    one = found.withColumn("_rank", F.row_number().over(Window.partitionBy("_kept_id").orderBy(F.col(text).isNull(), text)))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return one.where("_rank = 1").select(*names).unionByName(plain.where("_id IS NULL").select(*names)).toDF(*docs.columns)

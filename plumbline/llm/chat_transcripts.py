@@ -10,7 +10,10 @@ The many conversations of one block are decoded as they are. For the others each
 state before it to every state at its end (a matrix under (max, +)), the matrices of a conversation are folded, in two
 levels, into the scores before and after every block, and each block then traces its own part of the best path.
 
-Turns are rendered canonically: ``<|im_start|>role\\n``, the lines of the turn without its marker, ``<|im_end|>``.
+Turns are rendered canonically: ``<|im_start|>role\\n``, the lines of the turn without its marker, ``<|im_end|>``. A turn
+that runs over several blocks is one turn: the pieces that go on with it are added to the block where it begins. Inside a
+turn ``<|im_`` is written ``<\\|im_``, so no text forges a turn. When rows are written as transcripts, a line of a text that
+begins like a marker, or with a backslash, gets a backslash, which rendering takes off: such lines stay in their turn.
 
 Defined cases: a null text is an empty line; roles are lower-cased, trimmed and mapped by ROLES, unknown or null roles
 are not learnt from, and their turns carry no marker; rows that repeat in every column count
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import clashing, cut, keys, longs
+from plumbline.llm.common import clashing, cut, longs
 
 #: Turns of a block, rows of a crowded one, blocks folded at once.
 SPAN, CROWD, GROUP = 1024, 4096, 1024
@@ -126,25 +129,29 @@ def role_of(column: str):
     return F.when(name.isin(list(ROLES)), F.element_at(known, name))
 
 
-def written(conversations: DataFrame) -> DataFrame:
+def written(conversations: DataFrame, unmarked: int = 0) -> DataFrame:
     """Rows of conversations as transcript lines: conv_id, turn, role, lines.
 
     The first line of a row whose role is known carries a speaker marker, in one of four styles by conversation; nothing
-    else in the lines tells speakers apart. Rows that repeat in every column count once.
+    else in the lines tells speakers apart. unmarked: percentage of turns (by hash) that go without. Rows that repeat in
+    every column count once.
     """
     c = clashing(conversations, ["conv_id", "turn", "role", "text"])
     c = c.select("conv_id", F.col("turn").cast("long").alias("turn"), role_of("role").alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     pick = F.pmod(F.xxhash64(F.col("conv_id").cast("string")), F.lit(len(STYLES)))
     marks = F.array(*[F.create_map(*[F.lit(x) for r, name in style.items() for x in (r, name)]) for style in STYLES])
-    mark = F.when(F.col("role").isNotNull(), F.element_at(F.get(marks, pick), F.coalesce("role", F.lit("user"))))
-    return c.select("conv_id", "turn", "role", F.split(F.concat(F.coalesce(mark, F.lit("")), "text"), "\n").alias("lines"))
+    mark = F.when(F.col("role").isNotNull() & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) >= unmarked), F.element_at(F.get(marks, pick), F.coalesce("role", F.lit("user"))))
+    alike = rf"(?i)^(?:\\|\W*(?:{'|'.join(MARKERS)})(?:\W|$))"
+    kept = F.transform(F.split("text", "\n"), lambda x, i: F.when((i == 0) & F.col("mark").isNotNull(), F.concat("mark", x)).otherwise(F.when(x.rlike(alike), F.concat(F.lit("\\"), x)).otherwise(x)))
+    return c.withColumn("mark", mark).select("conv_id", "turn", "role", kept.alias("lines"))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
     """texts(conv_id, text), raw transcripts, as lines: a row for each line, turn its number."""
     t = clashing(texts, ["conv_id", "text"])
     at = t.select("conv_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("turn", "line"))
-    return at.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.array("line").alias("lines"))
+    line = F.when(F.startswith("line", F.lit("\\")), F.concat(F.lit("\\"), "line")).otherwise(F.col("line"))
+    return at.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.array(line).alias("lines"))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -204,29 +211,53 @@ def train(blocked: DataFrame) -> Model:
 
 
 def _render(rows, states: list[int]) -> list[tuple]:
-    """(turn, role, opens, text) of each turn, or part of one that began in an earlier block."""
+    """(place in the block, turn, role, opens, text) of each turn, or part of one that began in an earlier block."""
     out, at = [], 0
     for r in rows:
         for line in r["lines"]:
             role, begins = STATES[states[at]]
             at += 1
-            mark, body = marker(line or "")
+            line = line or ""
+            mark, body = marker(line)
+            if not begins or mark == "none":
+                body = line.removeprefix("\\")
             if begins or not out:
-                out.append((r["turn"], role, begins, [body if mark != "none" and begins else line or ""]))
+                out.append((r["turn"], role, begins, [body]))
             else:
-                out[-1][3].append(line or "")
-    return [(turn, role, opens, (f"<|im_start|>{role}\n" if opens else "") + "\n".join(body) + "<|im_end|>") for turn, role, opens, body in out]
+                out[-1][3].append(body)
+    return [(i, turn, role, opens, "\n".join(body).replace("<|im_", "<\\|im_")) for i, (turn, role, opens, body) in enumerate(out)]
+
+
+def _rendered(turns: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>"))
+    return turns.select("conv_id", "turn", "role", F.lit(True).alias("opens"), text.alias("rendered"))
+
+
+def _whole(pieces: DataFrame) -> DataFrame:
+    """Turns of pieces(conv_id, chunk, sub, at, turn, role, opens, text), those that run over several blocks put together.
+    Which turn a piece goes on with is found in a light row for each block."""
+    order = Window.partitionBy("conv_id").orderBy("chunk", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("chunk", "sub", "at")
+    last = pieces.groupBy("conv_id", "chunk", "sub").agg(F.max(F.when(F.col("opens"), place)).alias("last"), F.max(~F.col("opens")).alias("goes_on"))
+    to = last.withColumn("to", F.last("last", ignorenulls=True).over(order)).where("goes_on").select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.col("sub").alias("s"), "to")
+    more = pieces.where(~F.col("opens")).join(to, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")) & (F.col("sub") == F.col("s")))
+    more = more.groupBy("c", "to").agg(F.sort_array(F.collect_list(F.struct("chunk", "sub", "text"))).alias("rest"))
+    more = more.select("c", "to", F.array_join(F.transform("rest", lambda x: x["text"]), "\n").alias("rest"))
+    turns = pieces.where("opens").withColumn("place", place).join(more, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("to")), "left")
+    return turns.withColumn("text", F.concat_ws("\n", "text", "rest"))
 
 
 def parse(rows: DataFrame, model: Model | None = None) -> DataFrame:
     """conv_id, turn, role, opens, rendered of each recovered turn of rows(conv_id, turn, role, lines).
 
-    turn is that of the row in which the recovered turn begins. opens is false for the rest of a turn that began in an
-    earlier block. role of rows is only learnt from, and only where no model is given.
+    turn is that of the row in which the recovered turn begins; opens is true. role of rows is only learnt from, and only
+    where no model is given.
     """
-    blocked = cut(blocks(rows), "chat-blocks")
+    # turns as strings, as large ones beside nulls lose bits on the way to pandas, inside a list too
+    told = F.transform("rows", lambda r: F.struct(r["turn"].cast("string").alias("turn"), r["lines"].alias("lines"), r["role"].alias("role")))
+    blocked = cut(blocks(rows).withColumn("rows", told), "chat-blocks")
     model = model or train(blocked)
-    whole = "conv_id long, turn long, role string, opens boolean, rendered string"
+    piece = "conv_id long, at int, turn long, role string, opens boolean, text string"
     some = blocked.groupBy("conv_id").agg(F.count("*").alias("of"), F.min(F.struct("chunk", "sub")).alias("first"))
     long = cut(some.where("of > 1").select(F.col("conv_id").alias("lc"), "first"), "chat-long")
     key = F.col("conv_id").eqNullSafe(F.col("lc"))
@@ -236,9 +267,9 @@ def parse(rows: DataFrame, model: Model | None = None) -> DataFrame:
         return np.array([symbol(line or "") for r in rows for line in r["lines"]], int)
 
     def frame(conv, rows, states) -> pd.DataFrame:
-        out = pd.DataFrame(_render(rows, states), columns=["turn", "role", "opens", "rendered"])
-        out.insert(0, "conv_id", conv)
-        return out.assign(conv_id=longs(out["conv_id"]), turn=longs(out["turn"]))
+        out = _render(rows, states)
+        columns = {c: [x[i] for x in out] for i, c in ((0, "at"), (2, "role"), (3, "opens"), (4, "text"))}
+        return pd.DataFrame({"conv_id": longs([conv] * len(out)), "turn": longs(x[1] for x in out)} | columns)
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -247,7 +278,7 @@ def parse(rows: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pd.concat(parts)
 
     text_key = F.col("conv_id").cast("string").alias("conv_id")
-    done = blocked.join(long, key, "left_anti").select(text_key, "rows").mapInPandas(short, whole)
+    done = _rendered(blocked.join(long, key, "left_anti").select(text_key, "rows").mapInPandas(short, piece))
     if not long.limit(1).count():
         return done
 
@@ -285,8 +316,9 @@ def parse(rows: DataFrame, model: Model | None = None) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for conv, rows, first, before, after in zip(b["conv_id"], b["rows"], b["first"], b["before"], b["after"], strict=True):
-                yield frame(None if conv is None else int(conv), rows, model.path(np.frombuffer(before), seen(rows), np.frombuffer(after), first))
+            for conv, chunk, sub, rows, first, before, after in zip(*[b[c] for c in ("conv_id", "chunk", "sub", "rows", "first", "before", "after")], strict=True):
+                out = frame(None if conv is None else int(conv), rows, model.path(np.frombuffer(before), seen(rows), np.frombuffer(after), first))
+                yield out.assign(chunk=chunk, sub=sub)
 
     tops = made.groupBy("conv_id", "top").applyInPandas(product, "conv_id string, top long, m binary")
     edge = {"before": F.lit(neutral.tobytes()), "after": F.lit(neutral.tobytes())}
@@ -295,7 +327,8 @@ def parse(rows: DataFrame, model: Model | None = None) -> DataFrame:
     within = made.join(outer, same(made, outer) & (made["top"] == outer["top"])).select(made["conv_id"], made["top"], "chunk", "sub", "m", "before", "after")
     scores = within.groupBy("conv_id", "top").applyInPandas(around(place), "conv_id string, chunk long, sub long, before binary, after binary")
     both = parts.join(scores, same(parts, scores) & (parts["chunk"] == scores["chunk"]) & (parts["sub"] == scores["sub"]))
-    return done.unionByName(both.select(parts["conv_id"], "rows", "first", "before", "after").mapInPandas(decode, whole))
+    decoded = both.select(parts["conv_id"], parts["chunk"], parts["sub"], "rows", "first", "before", "after").mapInPandas(decode, piece + ", chunk long, sub long")
+    return done.unionByName(_rendered(_whole(cut(decoded, "chat-pieces"))))
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
@@ -305,6 +338,6 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 #: What a perfect recovery renders: every row, by its own role.
 SQL = """
-SELECT DISTINCT conv_id, turn, role, true AS opens, '<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' AS rendered
+SELECT DISTINCT conv_id, turn, role, true AS opens, '<|im_start|>' || role || chr(10) || replace(coalesce(text, ''), '<|im_', '<\\|im_') || '<|im_end|>' AS rendered
 FROM conversations
 """

@@ -132,8 +132,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataF
             index, memo = Items(sent.value, limit), WordHashes()
             for b in batches:
                 rows = [(doc, item, both, n, both / n) for doc, text in zip(b["doc_id"], b["text"], strict=True) for item, both, n in index.held(text, memo)]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "shared", "item_shingles", "containment"])
-                yield out.assign(doc_id=longs(out["doc_id"]), item_id=longs(out["item_id"]))
+                yield pd.DataFrame({"doc_id": longs(r[0] for r in rows), "item_id": longs(r[1] for r in rows)} | {c: [r[i] for r in rows] for i, c in ((2, "shared"), (3, "item_shingles"), (4, "containment"))})
 
         part = docs.mapInPandas(search, RESULT)
         out = part if out is None else out.unionByName(part)

@@ -122,12 +122,49 @@ def test_pages_that_only_name_an_article_are_differenced(spark):
 def test_names_inside_an_article():
     kept = ["<header class='entry-header'><h1>t</h1></header>", "<div class='article-header'>t</div>", "<section id='related-work'>t</section>", "<p class='social-history'>t</p>", "<h2 class='header'>t</h2>", "<p class='price share-price'>t</p>", "<div class='header'>t</div>"]
     gone = ["<div class='related'>t</div>", "<div id='comments'>t</div>", "<div class='x share-buttons'>t</div>", "<div class='related-posts'>t</div>", "<div class='siteHeader'>t</div>", "<ul class='social-links'><li>t</ul>", "<div class='ad-container'><h2>t</h2></div>"]
+    doubtful = ["<section id='related-work'>t</section>", "<p class='social-history'>t</p>", "<p class='price share-price'>t</p>", "<div class='related-findings'>t</div>", "<div class='notice-period'>t</div>", "<table id='comment-table'><tr><td>t</table>"]
+    kept = [x for x in kept if x not in doubtful]
     for tag in ("article", "main"):
         assert [html_extract.blocks(f"<{tag}>{x}</{tag}>") for x in kept] == [[("t", html_extract.IN)]] * len(kept)
+        assert [html_extract.blocks(f"<{tag}>{x}</{tag}>") for x in doubtful] == [[("t", html_extract.DOUBTFUL)]] * len(doubtful)
         assert [html_extract.blocks(f"<{tag}>{x}</{tag}>") for x in gone] == [[]] * len(gone)
     assert html_extract.blocks("<div class='related-work'>t</div>") == []  # no article: as before
 
 
+def test_shared_lines_inside_articles(spark):
+    """Lines in an article stay, shared or not; doubtful ones stay unless the neighbour has them; open ones are no text."""
+    body = lambda x, note: page(f"<div>Site slogan</div><article><p>shared sentence</p><p>{x} text of its own</p><div class='notice-period'>{note}</div></article><p>after</p>")
+    given = [(2**53 + 1, "http://h/a/1", body("first", "same note")), (2**53 + 3, "http://h/a/2", body("second", "same note")), (3, "http://h/a/3", body("third", "three months")), (None, "http://g/1", body("lone", "same note"))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+    assert got == {
+        2**53 + 1: "shared sentence\nfirst text of its own", 2**53 + 3: "shared sentence\nsecond text of its own",
+        3: "shared sentence\nthird text of its own\nthree months", None: "shared sentence\nlone text of its own\nsame note",
+    }
+
+
+def test_differencing_equals_brute_force(spark):
+    """Unlike pages of some hosts, sorted in plain Python and compared with both neighbours."""
+    import os.path
+    import random
+
+    rng = random.Random(2)
+    given = []
+    for i in range(120):
+        host, path = rng.choice(["a", "b", "c"]), "/".join(rng.choice("xyz") for _ in range(rng.randint(1, 3))) + f"/{i:03}"
+        lines = [f"menu {rng.randint(0, 3)}", f"own line {i} of page {i} that is far longer than any menu line here", f"menu {rng.randint(0, 3)}", f"second line {i} of page {i} that is long as well"]
+        kind = rng.choice(["div", "article"])
+        given.append((i, f"http://{host}/{path}", f"<{kind}>" + "".join(f"<p{' class=share-price' if kind == 'article' and x.startswith('menu') else ''}>{x}</p>" for x in lines) + f"</{kind}>", lines))
+    order = sorted(given, key=lambda r: (r[1].split("/")[2], r[1].split("/", 3)[3]))
+    want = {}
+    for k, (i, url, _, lines) in enumerate(order):
+        sides = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][1].split("/")[2] == url.split("/")[2]]
+        near = max(sides, key=lambda r: len(os.path.commonprefix([r[1], url])))  # the first of equals is the one before
+        gone = html_extract.common_lines(lines, near[3])
+        want[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    df = spark.createDataFrame([r[:3] for r in given], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df.repartition(5)).collect()} == want
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):

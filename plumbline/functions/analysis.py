@@ -19,13 +19,29 @@ def _catalog(notes: str) -> dict:
     return _catalogs[notes]
 
 
-def analyze(sql: str | None, notes: str | None = None) -> dict:
-    s, c, d = parse(sql), _catalog(notes or ""), dialects.detect(sql)
-    g = rules.diagnose(s, c, d)
-    f = flow.build(s, c, g["score"])
-    nodes = lineage.build(s, g["findings"])
-    plan = repairs.build(s, g["findings"], g["score"], f, nodes)
-    return {"statement": s, "catalog": c, "dialect": d, "diagnosis": g, "flow": f, "nodes": nodes, "plan": plan, "metrics": profile.metrics(s, c) if not s["unsupported"] else []}
+#: What each part of an analysis is made from; a part that isn't asked for is never worked out.
+PARTS = {
+    "statement": lambda a: parse(a["sql"]),
+    "catalog": lambda a: _catalog(a["notes"] or ""),
+    "dialect": lambda a: dialects.detect(a["sql"]),
+    "diagnosis": lambda a: rules.diagnose(a["statement"], a["catalog"], a["dialect"]),
+    "flow": lambda a: flow.build(a["statement"], a["catalog"], a["diagnosis"]["score"]),
+    "nodes": lambda a: lineage.build(a["statement"], a["diagnosis"]["findings"]),
+    "plan": lambda a: repairs.build(a["statement"], a["diagnosis"]["findings"], a["diagnosis"]["score"], a["flow"], a["nodes"]),
+    "metrics": lambda a: profile.metrics(a["statement"], a["catalog"]) if not a["statement"]["unsupported"] else [],
+}
+
+
+class Analysis(dict):
+    """Parts of PARTS by name, each made when it is first read."""
+
+    def __missing__(self, part: str):
+        self[part] = made = PARTS[part](self)
+        return made
+
+
+def analyze(sql: str | None, notes: str | None = None) -> Analysis:
+    return Analysis(sql=sql, notes=notes)
 
 
 def extras(a: dict, notes: str | None = None) -> dict:

@@ -135,8 +135,10 @@ def occurrences(records: DataFrame) -> DataFrame:
 def raw_lines(statements: DataFrame) -> DataFrame:
     """query_id, number, text, start, end of every line; CRLF counts as one."""
     lines = F.split("sql", r"\r?\n")
-    at = statements.select("query_id", lines.alias("l"), F.posexplode(lines).alias("i", "text"))
-    start = F.aggregate(F.slice("l", 1, F.col("i")), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    at = statements.select("query_id", F.posexplode(lines).alias("i", "text"))
+    # a running sum over a statement's lines: one pass, where a sum from the start for each line would be quadratic
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("query_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(before, F.lit(0)).cast("int")
     return at.select("query_id", (F.col("i") + 1).alias("number"), "text", start.alias("start"), (start + F.length("text")).alias("end"))
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import analysis, exports, formatting, lexing, lineage, parsing, profile, repairs
 from plumbline.functions.catalog import read_notes
 
+#: Statements of at most SHORT characters that a task remembers, with their rows: generated statements repeat.
+KEPT, SHORT = 2_000, 2_000
+
 
 def _tokens(sql, notes):
     tokens = lexing.lex(sql)
@@ -158,8 +161,20 @@ def section(statements: DataFrame, name: str) -> DataFrame:
     names = ["query_id", *[c.strip().split(" ")[0] for c in ddl.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, str], list[tuple]] = {}
+
+        def rows(sql: str, text: str) -> list[tuple]:
+            found = seen.get((sql, text))
+            if found is None:
+                found = rows_of(sql, text)
+                if len(sql) <= SHORT:
+                    if len(seen) >= KEPT:
+                        seen.clear()
+                    seen[sql, text] = found
+            return found
+
         for b in batches:
-            out = [(q, *row) for q, sql, text in zip(b["query_id"], b["sql"], b["schema_text"], strict=True) for row in rows_of(sql or "", text or "")]
+            out = [(q, *row) for q, sql, text in zip(b["query_id"], b["sql"], b["schema_text"], strict=True) for row in rows(sql or "", text or "")]
             yield pd.DataFrame(out, columns=names)
 
     return part.mapInPandas(run, f"query_id {key}, {ddl}")

@@ -39,7 +39,7 @@ def _join_right(t):
 
 
 def _join_full(t):
-    a, b = t.supplier.select(F.col("s_suppkey").alias("k"), F.lit(1).alias("a")), t.customer.select(F.col("c_custkey").alias("k"), F.lit(1).alias("b")).where("k % 3 = 0")
+    a, b = t.supplier.select((F.col("s_suppkey") * 40).alias("k"), F.lit(1).alias("a")), t.customer.select(F.col("c_custkey").alias("k"), F.lit(1).alias("b"))
     return a.join(b, "k", "full").select("k", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
 
 
@@ -65,7 +65,7 @@ def _join_semi(t):
 
 
 def _join_anti(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def _agg_having(t):
@@ -167,13 +167,13 @@ PLANS: dict[str, tuple[Callable, str]] = {
     "rel_join_inner": (_join_inner, f"SELECT c_mktsegment, count(*) AS n, CAST(sum({_CENTS}) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "rel_join_left": (_join_left, "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "rel_join_right": (_join_right, "SELECT c_nationkey, count(o_orderkey) AS orders, count(*) AS n FROM orders RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
-    "rel_join_full": (_join_full, "SELECT coalesce(s_suppkey, c_custkey) AS k, CAST(s_suppkey IS NOT NULL AS INT) AS a, CAST(c_custkey IS NOT NULL AS INT) AS b FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON s_suppkey = c_custkey"),
+    "rel_join_full": (_join_full, "SELECT coalesce(s_suppkey * 40, c_custkey) AS k, CAST(s_suppkey IS NOT NULL AS INT) AS a, CAST(c_custkey IS NOT NULL AS INT) AS b FROM supplier FULL JOIN customer ON s_suppkey * 40 = c_custkey"),
     "rel_join_using": (_join_using, "SELECT o_orderpriority, count(*) AS n FROM (SELECT l_orderkey AS o_orderkey FROM lineitem) JOIN orders USING (o_orderkey) GROUP BY 1"),
     "rel_join_natural": (_join_natural, "SELECT n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "rel_join_cross": (_join_cross, "SELECT r_name, count(*) AS n FROM region CROSS JOIN nation GROUP BY 1"),
     "rel_join_theta": (_join_theta, "SELECT s_suppkey, count(*) AS n FROM supplier JOIN nation ON n_nationkey < s_nationkey GROUP BY 1"),
     "rel_join_semi": (_join_semi, "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)"),
-    "rel_join_anti": (_join_anti, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "rel_join_anti": (_join_anti, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
     "rel_agg_having": (_agg_having, "SELECT l_partkey, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, max(l_shipdate) AS last FROM lineitem GROUP BY 1 HAVING count(*) >= 30"),
     "rel_pricing_summary": (_pricing, "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
     "rel_rollup": (_rollup, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, GROUPING_ID(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),

@@ -11,7 +11,8 @@ from plumbline.functions import demo
 from plumbline.functions.dialects import DIALECTS
 from plumbline.operators import native, views
 from plumbline.operators.sections import SECTIONS, section
-from plumbline.sources.corpora import EXPECTED, NATIONS, ORDERS, generated
+from plumbline.sources import cases
+from plumbline.sources.corpora import EXPECTED, NATIONS, NOTES, ORDERS, generated
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,7 +97,18 @@ def repeats(spark, sf_dir):
 
 def edits(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", F.concat_ws(":", "event_type", "event_id").alias("snapshot"))
-    return native.history(e, 5)
+    return native.history(e)
+
+
+def rule_cases(spark, sf_dir):
+    """The codes found in a small statement for each rule."""
+    return section(cases.statements(spark, sf_dir, cases.REVIEWED, NOTES), "findings").select("query_id", "code").distinct()
+
+
+def dialect_cases(spark, sf_dir):
+    """The dialect codes found in a small statement for each dialect rule."""
+    found = section(cases.statements(spark, sf_dir, cases.DIALECTED, ""), "findings")
+    return found.where(F.col("code").rlike("^D([0-9]|[12][0-9]|30)$")).select("query_id", "code").distinct()
 
 
 def routes(spark, sf_dir):
@@ -165,7 +177,9 @@ QUERIES: dict[str, Query] = {
     "edit_history": edits,
     "stage_routes": routes,
     "query_lens": lens,
-    "demo_findings": lambda s, d: section(_demo(s), "findings"),
+    "demo_findings": lambda s, d: section(_demo(s), "findings").select("pos", "code", "severity"),
+    "rule_cases": rule_cases,
+    "dialect_cases": dialect_cases,
     "demo_metrics": lambda s, d: section(_demo(s), "metrics"),
 } | {f"review_{name}": _orders(name) for name in SECTIONS}
 
@@ -253,6 +267,9 @@ SQL: dict[str, str] = {
         CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY query_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS INT) AS "end", md5(text) AS text
         FROM (SELECT doc_id AS query_id, CAST(i AS INT) AS number, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""",
     "occurrence_ids": "SELECT user_id AS query_id, event_type AS base, event_id AS pos, CASE WHEN n = 1 THEN event_type ELSE event_type || printf('-r%02d', n) END AS stable_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)",
-    "edit_history": "SELECT key, ts, snapshot, CAST(b AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, snapshot DESC) AS b FROM (SELECT user_id AS key, ts, event_type || ':' || CAST(event_id AS VARCHAR) AS snapshot FROM events)) WHERE b <= 5",
+    "edit_history": "SELECT key, ts, snapshot, CAST(b AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, snapshot DESC) AS b FROM (SELECT user_id AS key, ts, event_type || ':' || CAST(event_id AS VARCHAR) AS snapshot FROM events)) WHERE b <= 80",
 }
+SQL["rule_cases"], SQL["dialect_cases"] = cases.expected(cases.REVIEWED), cases.expected(cases.DIALECTED)
+#: Findings of the demo, by hand, in order.
+SQL["demo_findings"] = "SELECT CAST(p AS INT) AS pos, c AS code, s AS severity FROM (VALUES (0, 'S4', 'high'), (1, 'S9', 'medium'), (2, 'S5', 'high'), (3, 'P3', 'medium'), (4, 'P3', 'medium'), (5, 'J1', 'high'), (6, 'W6', 'info')) v(p, c, s)"
 del _HALF

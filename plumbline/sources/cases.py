@@ -50,6 +50,7 @@ DIALECTED: tuple[tuple[str, str], ...] = (
     ("SELECT a FROM t UNION SELECT a FROM u", "D5"),
     ("SELECT a FROM t UNION ALL SELECT a FROM u", ""),
     ("SELECT * EXCEPT (a) FROM t", "D6"),
+    ("SELECT * EXCEPT (a) FROM t WHERE created_at > 1", "D6 D9"),
     ("SELECT a FROM `p.d.t` WHERE created_at > 1", "D0 D9"),
     ("SELECT a FROM `p.d.events_*`", "D0 D7"),
     ("SELECT a FROM t, LATERAL FLATTEN(input => b)", "D10"),

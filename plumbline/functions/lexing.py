@@ -47,6 +47,19 @@ def lex(sql: str | None) -> list[Token]:
     return out
 
 
+def left_open(sql: str) -> tuple[str, int] | None:
+    """What a damaged text leaves open at its end, a quote sign or "/*", and the line on which it begins."""
+    last = None
+    for last in _TOKEN.finditer(sql):  # only the last one can run to the end
+        pass
+    if last is None:
+        return None
+    value, sign = last[0], last[0][:2] if last["skip"] else last[0][:1]
+    comment = sign == "/*" and not (len(value) > 3 and value.endswith("*/"))
+    quote = last.lastgroup in ("string", "identifier") and sign in "'\"`" and value.count(sign) % 2
+    return (sign, sql.count("\n", 0, last.start()) + 1) if comment or quote else None
+
+
 def without_comments(sql: str | None) -> str:
     """Comments become spaces; line breaks and positions stay. Quotes are respected."""
     return _TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m["skip"] and m[0][:1] in "-/" else m[0], sql or "")

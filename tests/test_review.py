@@ -143,3 +143,17 @@ def test_anything_is_reviewed(sql):
     assert len(lines) == (text.count("\n") + 1 if text else 0)
     assert [t.value for t in lexing.lex(lexing.without_comments(sql))] == [t.value for t in lexing.lex(sql)]
     assert parsing.parse(sql)["statementType"]
+
+
+@pytest.mark.parametrize(
+    ("sql", "codes"),
+    [
+        ("select a)\nfrom t", ["S1"]), ("select 'a\nfrom t", ["S2"]), ('select "a from t', ["S2"]), ("select a /* from t", ["S3"]), ("select ((a from t", ["S4", "S4"]),
+        ("select a from t join\nwhere b = 1", []), ("select a from t join where b = 1", ["S5"]), ("select a from where b = 1", ["S6"]), ("select a from t join u on where b = 1", ["S7"]),
+        ("select a,\nb from t", ["S8"]), ("select\na,\nfrom t", ["S9"]), ("select ')', \"(\" from t -- (", []),
+    ],
+)
+def test_syntax_damage(sql, codes):
+    from plumbline.functions import rules
+
+    assert [f["code"] for f in rules.syntax_damage(sql)] == codes

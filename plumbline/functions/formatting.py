@@ -1,80 +1,81 @@
-"""A statement with one clause a line, and the raw lines that each formatted line comes from."""
+"""A statement with one clause a line, and the raw lines that each formatted line comes from.
+
+Tokens are first classified, by their words and depths, into pieces that begin or end a line; pieces are then grouped into
+lines, and each line is spelled and its raw lines are taken from its tokens.
+"""
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
-from plumbline.functions.lexing import Token, lex
+from plumbline.functions.lexing import Token, depths, lex
 
-_STARTS = {"with", "select", "from", "where", "having", "limit", "offset"}
-_JOINS = {"inner", "left", "right", "full", "cross"}
+#: What begins a line outside parentheses, and the indent it brings (none: that of the line before).
+BEGINS: dict[str, int | None] = dict.fromkeys(("with", "select", "from", "where", "having", "limit", "offset", "group by", "order by"), 0) | {"and": 1, "or": 1}
+BEGINS |= dict.fromkeys(("join", "inner join", "left join", "right join", "full join", "cross join"))
 #: Other words written in capitals.
 _CAPITALS = {"as", "between", "case", "else", "end", "in", "is", "like", "not", "null", "on", "using", "when", "then"}
 DEEPEST = 6
 
 
-def _pieces(tokens: list[Token]):
-    """(text, tokens, break before, break after, depth at which it stands)."""
-    depth, i = 0, 0
-    while i < len(tokens):
-        t, after = tokens[i], tokens[i + 1] if i + 1 < len(tokens) else None
-        word, follows, top = (t.normalized if t.type == "word" else ""), after.normalized if after and after.type == "word" else "", depth == 0
-        if t.value == ")":
-            depth = max(0, depth - 1)
-        if top and word in ("group", "order") and follows == "by":
-            yield f"{word.upper()} BY", [t, after], 0, None, depth
-            i += 1
-        elif top and word in _JOINS and follows == "join":
-            yield f"{word.upper()} JOIN", [t, after], -1, None, depth
-            i += 1
-        elif top and word in _STARTS:
-            yield word.upper(), [t], 0, None, depth
-        elif top and word == "join":
-            yield "JOIN", [t], -1, None, depth
-        elif top and t.value == ",":
-            yield ",", [t], None, 1, depth
-        elif top and word in ("and", "or"):
-            yield word.upper(), [t], 1, None, depth
-        else:
-            yield word.upper() if word in _CAPITALS else t.value, [t], None, None, depth
-        if t.value == "(":
-            depth += 1
-        i += 1
+class Piece(NamedTuple):
+    text: str
+    first: int  # raw lines
+    last: int
+    depth: int
+    key: str  # in BEGINS, "," outside parentheses, or ""
 
 
-def format_sql(sql: str | None) -> tuple[str, list[dict]]:
-    """Formatted text, and {formattedLine, rawLineStart, rawLineEnd} of each of its lines."""
-    out: list[str] = []
-    ranges: list[list[int]] = []
-    line, spans, indent, last = "", [], 0, None
+def _pieces(tokens: list[Token]) -> list[Piece]:
+    words = [t.normalized if t.type == "word" else "" for t in tokens]
+    out, skip = [], -1
+    for i, (t, word, inside) in enumerate(zip(tokens, words, depths(tokens), strict=True)):
+        if i == skip:
+            continue
+        level = inside - (t.value == "(")  # a parenthesis stands outside what it encloses
+        both = f"{word} {words[i + 1]}" if word and i + 1 < len(words) else ""
+        key = next((x for x in (both, word, t.value) if x in BEGINS or x == ","), "") if level == 0 else ""
+        if key == both and key:
+            skip = i + 1
+        text = key.upper() if key in BEGINS else word.upper() if word in _CAPITALS else t.value
+        out.append(Piece(text, t.line, tokens[max(i, skip)].line, level, key))
+    return out
+
+
+def _grouped(pieces: list[Piece]) -> list[tuple[int, list[Piece]]]:
+    """Indent and pieces of each line: it begins where a piece says so, after a comma, or where the raw text goes on in
+    another line."""
+    out: list[tuple[int, list[Piece]]] = []
+    for before, p in zip([None, *pieces], pieces, strict=False):
+        indent = out[-1][0] if out else 0
+        comma, lower = before is not None and before.key == ",", before is not None and p.first > before.last
+        if comma:
+            indent = 1
+        elif lower:
+            indent = min(DEEPEST, p.depth)
+        if BEGINS.get(p.key) is not None:
+            indent = BEGINS[p.key]
+        if not out or comma or lower or p.key in BEGINS:
+            out.append((indent, []))
+        out[-1][1].append(p)
+    return out
 
-    def push():
-        nonlocal line, spans
-        if line.strip():
-            text = line.strip()
-            out.append("  " * max(0, indent) + text)
-            ranges.extend([min(s[0] for s in part), max(s[1] for s in part)] for part in spans[: text.count("\n") + 1])
-        line, spans = "", []
 
-    tokens = lex(sql)
-    for text, source, before, after, depth in _pieces(tokens):
-        if last is not None and source[0].line > last and line.strip():
-            push()
-            indent = min(DEEPEST, depth)
-        last = source[0].line if len(source) == 1 else source[-1].line
-        if before is not None:
-            push()
-            indent = indent if before < 0 else before
-        tight = not line or text in (",", ")", ";", ".") or line[-1] in "(." or text == "(" and re.match(r"[A-Za-z0-9_*]", line[-1])
-        line += text if tight else " " + text
-        rows = text.count("\n") + 1
-        covers = [(source[0].line + k, source[0].line + k) for k in range(rows)] if len(source) == 1 else [(source[0].line, source[-1].line)]
-        if not spans:
-            spans.append([])
-        spans[-1].append(covers[0])
-        spans.extend([c] for c in covers[1:])
-        if after is not None:
-            push()
-            indent = after
-    push()
-    return "\n".join(out), [{"formattedLine": n, "rawLineStart": a, "rawLineEnd": b} for n, (a, b) in enumerate(ranges, 1)]
+def _spelled(pieces: list[Piece]) -> tuple[str, list[tuple[int, int]]]:
+    """A line's text, and the first and last raw line of each of its rows (a string may hold line ends)."""
+    text, rows = "", {}
+    for p in pieces:
+        tight = not text or p.text in (",", ")", ";", ".") or text[-1] in "(." or p.text == "(" and re.match(r"[A-Za-z0-9_*]", text[-1])
+        row, more = text.count("\n"), p.text.count("\n")
+        text += p.text if tight else " " + p.text
+        for k in range(more + 1):
+            rows.setdefault(row + k, []).extend([p.first + k, p.first + k if more else p.last])
+    return text, [(min(x), max(x)) for _, x in sorted(rows.items())]
+
+
+def format_sql(sql: str | None) -> tuple[str, list[dict]]:
+    """Formatted text, and {formattedLine, rawLineStart, rawLineEnd} of each of its lines."""
+    spelled = [(indent, *_spelled(pieces)) for indent, pieces in _grouped(_pieces(lex(sql)))]
+    ranges = [r for _, _, rows in spelled for r in rows]
+    return "\n".join("  " * indent + text for indent, text, _ in spelled), [{"formattedLine": n, "rawLineStart": a, "rawLineEnd": b} for n, (a, b) in enumerate(ranges, 1)]

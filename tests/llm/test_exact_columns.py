@@ -153,3 +153,35 @@ def test_ridge_and_calibration_equal_plain_numpy(spark):
     fit = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
     px, py = quality.pool((np.array(at) + 0.5) / quality.BINS * 3 - 1, v, w)
     assert np.allclose(model.y, py) and np.allclose(sorted(set(np.round(fit, 9))), sorted(set(np.round(py, 9))))
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, equal texts, a column whose name differs in case only."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    some = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").limit(30).collect()]
+    rows = [*some, (some[0][0], some[0][1]), (2**53 + 1, some[1][1]), (None, some[2][1]), (2**53 + 3, ""), (2**53 + 5, None)]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else 2**53 + 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, d)
+        assert kept.columns == docs.columns, name
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+    given, left = {(r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()}, [tuple(r) for r in kept.collect()]
+    assert set(left) <= given and len({r[0] for r in left}) == len(left)
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    coded = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.STAGES[-1][1](spark, kept, d).collect()}
+    assert coded == {i: lib.encode(t or "") for i, t, _ in left}
+    empty = corpus_pipeline.STAGES[0][1](spark, docs.limit(0), d)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        empty = stage(spark, empty, d)
+    assert empty.count() == 0
+
+
+def test_lattice_of_texts_without_words(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (None, "")], "doc_id long, text string").coalesce(1)
+    got = sentencepiece_lattice.encode(df, P.path("piece_bpe_32k.model")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], list(r["ids"]), r["round_trip"]) for r in got) == [("1", 0, [], True), ("2", 0, [], True), ("None", 0, [], True)]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import analysis, exports, formatting, lexing, lineage, parsing, profile, repairs
+from plumbline.functions import analysis, exports, formatting, lexing, lineage, parsing, profile, repairs, report, selection
 from plumbline.functions.catalog import read_notes
 
 #: Statements of at most SHORT characters that a task remembers, with their rows: generated statements repeat.
@@ -127,6 +127,31 @@ def _exports(sql, notes):
     return [(doc["analysis"]["id"], doc["input"]["id"], exports.serialize(doc), exports.markdown(doc), exports.problems(doc))]
 
 
+def _reader(sql, notes):
+    return selection.Reader(analysis.analyze(sql, notes))
+
+
+def _rows(records):
+    return [tuple(x.values()) for x in records]
+
+
+def _highlights(sql, notes):
+    r = _reader(sql, notes)
+    lines = selection.lens(r) if r.nodes else []
+    return [(n["legacyId"], line) for n in r.nodes for line in selection.highlighted(lines, n)]
+
+
+def _export_files(sql, notes):
+    out = []
+    for kind in exports.KINDS:
+        try:
+            x = exports.artifact(exports.document(analysis.analyze(sql, notes), notes), kind)
+            out.append((kind, True, x["filename"], x["mimeType"], x["content"], ""))
+        except Exception as why:  # one statement's failure is its row's error, as in a handler, and stops no job
+            out.append((kind, False, "", "", "", f"{type(why).__name__}: {why}"))
+    return out
+
+
 SECTIONS: dict[str, tuple[str, Callable]] = {
     "tokens": ("pos int, type string, value string, normalized string, line int, col int, depth int", _tokens),
     "statements": ("statement_type string, unsupported boolean, is_distinct boolean, ctes int, projections int, relations int, joins int, predicates int, having int, group_items int, order_items int, limit_text string, offset_text string, branches int", _statement),
@@ -148,6 +173,17 @@ SECTIONS: dict[str, tuple[str, Callable]] = {
     "metrics": ("legacy_id string, stable_id string, label string, expression string, type string, grain string, tone string, depends_on array<string>, inputs array<string>", _metrics),
     "briefings": ("disposition string, headline string, readout string, next_actions array<string>, assets array<string>, grain string, contract string, critical_step string, scorecards array<string>, questions array<string>, notes array<string>", _briefing),
     "chips": ("pos int, label string, value string, tone string", _chips),
+    "inspect_board": ("node string, kind string, severity string, label string, line int, chosen boolean, n_in int, n_out int, path string, motion string, finding string, action string, metrics array<string>, sources array<string>, questions array<string>", lambda sql, notes: _rows(selection.board(_reader(sql, notes)))),
+    "node_table": ("node string, kind string, severity string, sources string, metrics string, grain string, before array<string>, after array<string>, lines string", lambda sql, notes: _rows(selection.table(_reader(sql, notes)))),
+    "evidence_rows": ("node string, reader string, pos int, label string, value string", lambda sql, notes: _rows(selection.evidence(_reader(sql, notes)))),
+    "hotspots": ("reader string, label string, tone string, node string", lambda sql, notes: _rows(selection.hotspots(_reader(sql, notes)))),
+    "lens_rows": ("line int, raw_start int, raw_end int, text string, node string, scope string, opens boolean, severity string, diagnostic string", lambda sql, notes: _rows(selection.lens(_reader(sql, notes)))),
+    "lens_anchors": ("node string, scope string, label string, severity string", lambda sql, notes: _rows(selection.anchors(_reader(sql, notes)))),
+    "highlights": ("node string, line int", _highlights),
+    "narratives": ("label string, value string, detail string, tone string", lambda sql, notes: _rows(report.narrative(analysis.analyze(sql, notes)))),
+    "audience": ("reader string, label string, detail string, tone string", lambda sql, notes: _rows(report.audience(analysis.analyze(sql, notes)))),
+    "reports": ("text string", lambda sql, notes: [(report.text(analysis.analyze(sql, notes)),)]),
+    "export_files": ("format string, ok boolean, filename string, mime_type string, content string, error string", _export_files),
     "exports": ("analysis_id string, input_id string, json string, markdown string, problems array<string>", _exports),
 }
 

@@ -78,3 +78,78 @@ def navigator(findings: DataFrame, metrics: DataFrame, sources: DataFrame, actio
         part = df.select("query_id", F.lit(name).alias("list"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("place"), F.col(label).alias("label")).where(F.col("place") <= most)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# layers and filters -------------------------------------------------------------------------------------------------
+
+#: Kinds of nodes in a layer and under a filter, and the weight of a node by perspective.
+LAYERS = {"grain": ("group", "having", "projection", "result"), "metrics": ("source", "join", "projection", "result")}
+FILTERS = {"sources": ("source", "cte"), "joins": ("join",), "filters": ("where", "having"), "grain": ("group", "order", "limit"), "select": ("projection",)}
+MEASURED = ("source", "cte", "group", "having", "projection", "result")
+
+
+def in_layer(layer: str, kind=None, severity=None):
+    """Whether a node belongs to a layer: risk, grain, metrics, or one that has all (lineage, motion)."""
+    kind, severity = F.col("kind") if kind is None else kind, F.col("severity") if severity is None else severity
+    if layer == "risk":
+        return severity.isin("high", "medium") | (kind == "result")
+    return kind.isin(*LAYERS[layer]) if layer in LAYERS else F.lit(True)
+
+
+def shown(hidden: tuple[str, ...] = ()):
+    """Whether a node is visible when the filters in hidden are off; results always are."""
+    off = [k for name in hidden for k in FILTERS[name]]
+    return ~F.col("kind").isin(*off) if off else F.lit(True)
+
+
+def weight(perspective: str):
+    """How much of a node a perspective shows, from 0 to 1."""
+    kind, severity = F.col("kind"), F.col("severity")
+    if perspective == "decision":
+        return F.when((kind == "result") | (severity == "high"), 1.0).when((severity == "medium") | kind.isin("join", "group", "having"), 0.7).otherwise(0.28)
+    if perspective == "metrics":
+        return F.when(kind.isin(*MEASURED), 1.0).when(kind.isin("join", "where"), 0.68).otherwise(0.4)
+    return F.lit(1.0)
+
+
+def layer_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, layer, nodes, edges in it: an edge is in the risk layer by its own risk, elsewhere by either end."""
+    names = ("risk", "grain", "metrics", "lineage")
+    n = nodes.groupBy("query_id").agg(*[F.count_if(in_layer(x)).alias(x) for x in names])
+    risks = edge_risks(edges, nodes)
+    kinds = nodes.select("query_id", "node_id", "kind")
+    ends = risks.join(kinds.withColumnsRenamed({"node_id": "from_id", "kind": "a"}), ["query_id", "from_id"]).join(kinds.withColumnsRenamed({"node_id": "to_id", "kind": "b"}), ["query_id", "to_id"])
+    belongs = {"risk": F.col("risk").isin("high", "medium"), "lineage": F.lit(True)} | {x: F.col("a").isin(*LAYERS[x]) | F.col("b").isin(*LAYERS[x]) for x in LAYERS}
+    e = ends.groupBy("query_id").agg(*[F.count_if(belongs[x]).alias(f"e_{x}") for x in names])
+    both = n.join(e, "query_id", "left")
+    rows = F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).alias("nodes"), F.coalesce(F.col(f"e_{x}"), F.lit(0).cast("long")).alias("edges")) for x in names])
+    return both.select("query_id", F.explode(rows).alias("r")).select("query_id", "r.*")
+
+
+def visible_counts(nodes: DataFrame) -> DataFrame:
+    """query_id, hidden, visible: nodes left with each filter off, and their weight for decisions."""
+    rows = F.array(*[F.struct(F.lit(x).alias("hidden"), shown((x,)).alias("yes")) for x in FILTERS])
+    each = nodes.select("query_id", weight("decision").alias("w"), F.explode(rows).alias("r"))
+    return each.groupBy("query_id", F.col("r.hidden").alias("hidden")).agg(F.count_if(F.col("r.yes")).alias("visible"), F.round(F.sum(F.when(F.col("r.yes"), F.col("w")).otherwise(0.0)), 2).alias("weight"))
+
+
+def line_nodes(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, number, start, end, node_id of raw lines and the first node, by clause and line, that spans each; none if no node does."""
+    layer = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
+    n = nodes.where("kind <> 'result' AND line_start IS NOT NULL").select("query_id", "node_id", "line_start", F.coalesce("line_end", "line_start").alias("line_end"), layer.alias("layer"))
+    met = lines.join(n, (lines["query_id"] == n["query_id"]) & lines["number"].between(n["line_start"], n["line_end"]), "left").drop(n["query_id"])
+    return met.groupBy("query_id", "number", "start", "end").agg(F.min_by("node_id", F.struct("layer", "line_start", "node_id")).alias("node_id"))
+
+
+def resolved(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, target, status, node_id: targets by a node's legacy id, else by its own; ambiguous where a legacy id means several."""
+    by_legacy = nodes.groupBy("query_id", F.col("legacy_id").alias("target")).agg(F.count_distinct("node_id").alias("n"), F.min("node_id").alias("old"))
+    own = nodes.select("query_id", F.col("node_id").alias("target"), F.col("node_id").alias("new")).distinct()
+    found = targets.select("query_id", "target").join(by_legacy, ["query_id", "target"], "left").join(own, ["query_id", "target"], "left")
+    status = F.when(F.col("n") > 1, "ambiguous").when(F.coalesce("old", "new").isNotNull(), "resolved").otherwise("unsupported")
+    return found.select("query_id", "target", status.alias("status"), F.when(status == "resolved", F.coalesce("old", "new")).otherwise("").alias("node_id"))
+
+
+def same_ids(a, b):
+    """Whether two arrays hold the same ids, in any order."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))

@@ -11,6 +11,7 @@ from plumbline.functions import demo
 from plumbline.functions.dialects import DIALECTS
 from plumbline.operators import native, views
 from plumbline.operators.sections import SECTIONS, section
+from plumbline.plans import expected
 from plumbline.sources import cases
 from plumbline.sources.corpora import EXPECTED, NATIONS, NOTES, ORDERS, generated
 
@@ -112,12 +113,12 @@ def dialect_cases(spark, sf_dir):
 
 
 def routes(spark, sf_dir):
-    return native.stage_routes(section(_demo(spark), "lineage_nodes"), 8, 8)
+    return native.stage_routes(section(generated(spark, sf_dir, "orders"), "lineage_nodes"), 8, 8)
 
 
 def lens(spark, sf_dir):
-    s = _demo(spark)
-    return native.lens(section(s, "formatted"), section(s, "lineage_nodes"))
+    s = generated(spark, sf_dir, "orders")
+    return native.lens(section(s, "formatted"), section(s, "lineage_nodes").withColumn("node_id", F.col("legacy_id")))
 
 
 def _lineage(spark, sf_dir):
@@ -147,6 +148,56 @@ def decision_focus(spark, sf_dir):
     return views.focus("decision", nodes, edges, section(s, "findings"))
 
 
+def layer_counts(spark, sf_dir):
+    _, nodes, edges = _lineage(spark, sf_dir)
+    return views.layer_counts(nodes, edges)
+
+
+def line_nodes(spark, sf_dir):
+    s, nodes, _ = _lineage(spark, sf_dir)
+    return views.line_nodes(native.raw_lines(s), nodes)
+
+
+def resolved_ids(spark, sf_dir):
+    """Every legacy id of a statement, and one that no node has."""
+    nodes = section(generated(spark, sf_dir, "orders"), "lineage_nodes")
+    asked = nodes.select("query_id", F.col("legacy_id").alias("target")).unionByName(nodes.select("query_id", F.lit("nowhere-0").alias("target")).distinct())
+    return views.resolved(asked, nodes).select("query_id", "target", "status", (F.col("node_id") != "").alias("found"))
+
+
+def evidence_facts(spark, sf_dir):
+    """The kinds of facts that SQL can derive from nodes, steps and findings."""
+    return section(generated(spark, sf_dir, "orders"), "evidence_rows").where(F.col("label").isin("Handoff", "Exposure", "Grain", "Motion", "Evidence", "Diagnostic", "Path"))
+
+
+def export_files(spark, sf_dir):
+    """Files of exports: names and kinds, and what the JSON ones say of the score."""
+    f = section(generated(spark, sf_dir, "orders"), "export_files")
+    said = lambda path: F.coalesce(F.get_json_object("content", path), F.lit(""))
+    named = F.col("filename").rlike(r"^plumbline-q02a-analysis-v1-[0-9a-f]{16}\.(json|md)$")
+    return f.select("query_id", "format", "ok", named.alias("named"), "mime_type", "error", said("$.state.score").alias("score"), said("$.state.riskLevel").alias("risk_level"), (F.length("content") > 0).alias("whole"))
+
+
+def report_facts(spark, sf_dir):
+    """What the head of each report says, and how many findings and steps it lists."""
+    r = section(generated(spark, sf_dir, "orders"), "reports")
+    said = lambda p: F.regexp_extract("text", p, 1)
+    under = lambda title, mark: F.regexp_count(F.regexp_extract("text", rf"(?s)## {title}\n(.*?)(\n\n|$)", 1), F.lit(mark))
+    return r.select(
+        "query_id", said("Risk level: (.*)").alias("level"), said("Risk score: ([0-9]+)/100").alias("score"), said("Complexity: ([0-9]+)/100").alias("complexity"), said("Final row estimate: (.*)").alias("final_rows"), said("Sources: (.*)").alias("sources"),
+        under("Findings", r"(?m)^- \[").alias("findings"), under("Flow", "(?m)^- ").alias("steps"),
+    )
+
+
+def _listed(name: str, *columns: str, lists: tuple[str, ...] = (), by: str = "|") -> Query:
+    """Columns of a section, lists as texts."""
+
+    def run(spark, sf_dir):
+        return section(generated(spark, sf_dir, "orders"), name).select("query_id", *columns, *[F.array_join(x, by).alias(x) for x in lists])
+
+    return run
+
+
 def navigator(spark, sf_dir):
     s = generated(spark, sf_dir, "nations")
     return views.navigator(*[section(s, n) for n in ("findings", "metrics", "sources", "actions")])
@@ -183,6 +234,25 @@ QUERIES: dict[str, Query] = {
     "demo_metrics": lambda s, d: section(_demo(s), "metrics"),
 } | {f"review_{name}": _orders(name) for name in SECTIONS}
 
+QUERIES |= {
+    "layer_counts": layer_counts,
+    "visible_counts": lambda s, d: views.visible_counts(_lineage(s, d)[1]),
+    "line_nodes": line_nodes,
+    "resolved_ids": resolved_ids,
+    "evidence_facts": evidence_facts,
+    "export_files": export_files,
+    "report_facts": report_facts,
+    "review_expressions": _listed("expressions", "clause", "pos", "text", "alias", "aggregate", "wildcard", lists=("refs",), by=","),
+    "review_lineage_nodes": lambda s, d: section(generated(s, d, "orders"), "lineage_nodes").select("query_id", "legacy_id", "kind", "label", "text", "severity", F.coalesce("line_start", F.lit(0)).alias("line")),
+    "review_flow_signals": lambda s, d: section(generated(s, d, "orders"), "flow_signals").select("query_id", "signal_id", "label", "risk", F.round("row_delta", 9).alias("row_delta"), F.size("target_ids").alias("targets")),
+    "review_actions": _listed("actions", "rank", "title", "severity", "evidence", "confidence", "row_factor", "risk_delta", "complexity_delta", "applied", "preview_sql"),
+    "review_plans": _listed("plans", "before_risk", "after_risk", "before_complexity", "after_complexity", "before_peak_rows", "after_peak_rows", "rows_avoided", lists=("checklist",), by="; "),
+    "review_metrics": _listed("metrics", "legacy_id", "label", "expression", "type", "grain", "tone", lists=("depends_on", "inputs"), by=","),
+    "review_briefings": _listed("briefings", "disposition", "headline", "readout", "grain", "contract", "critical_step", lists=("next_actions", "assets", "scorecards", "questions", "notes")),
+    "review_inspect_board": _listed("inspect_board", "node", "kind", "severity", "label", "chosen", "n_in", "n_out", "motion", "finding", "action", lists=("questions",)),
+    "review_node_table": lambda s, d: section(generated(s, d, "orders"), "node_table").select("query_id", "node", "kind", "severity", "sources", "metrics", "grain", "lines", *[F.array_join(F.array_sort(x), "|").alias(x) for x in ("before", "after")]),
+    "review_audience": _listed("audience", "reader", "label"),
+}
 QUERIES["review_findings"] = _orders("findings", "code", "severity", "title")
 QUERIES["review_diagnosis"] = _orders("diagnosis", "score", "risk_level", "high", "medium", "low", "info", "max_rows", "final_rows")
 QUERIES["review_statements"] = _orders("statements", "statement_type", "projections", "relations", "joins", "predicates", "group_items", "order_items", "ctes")
@@ -269,6 +339,7 @@ SQL: dict[str, str] = {
     "occurrence_ids": "SELECT user_id AS query_id, event_type AS base, event_id AS pos, CASE WHEN n = 1 THEN event_type ELSE event_type || printf('-r%02d', n) END AS stable_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)",
     "edit_history": "SELECT key, ts, snapshot, CAST(b AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, snapshot DESC) AS b FROM (SELECT user_id AS key, ts, event_type || ':' || CAST(event_id AS VARCHAR) AS snapshot FROM events)) WHERE b <= 80",
 }
+SQL |= expected.queries(_PAIRS)
 SQL["rule_cases"], SQL["dialect_cases"] = cases.expected(cases.REVIEWED), cases.expected(cases.DIALECTED)
 #: Findings of the demo, by hand, in order.
 SQL["demo_findings"] = "SELECT CAST(p AS INT) AS pos, c AS code, s AS severity FROM (VALUES (0, 'S4', 'high'), (1, 'S9', 'medium'), (2, 'S5', 'high'), (3, 'P3', 'medium'), (4, 'P3', 'medium'), (5, 'J1', 'high'), (6, 'W6', 'info')) v(p, c, s)"

@@ -76,3 +76,10 @@ def write_exports(exports: DataFrame, folder: str, kind: str = "json") -> None:
     if kind not in ("json", "markdown"):
         raise ValueError("json or markdown")
     exports.select(kind).write.mode("errorifexists").option("lineSep", "\n").text(f"{folder}/{kind}")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """A folder filename=... for each artifact of export_files(format, ok, filename, content), holding its one text file;
+    equal statements have one artifact."""
+    one = files.where("ok").dropDuplicates(["filename"]).select("filename", "content")
+    one.write.mode("errorifexists").partitionBy("filename").option("lineSep", "\n").text(folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,17 +145,21 @@ def raw_lines(statements: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFrame:
     """query_id, node, distance of the nodes within depth edges of seeds(query_id, node), the limit nearest of each
-    statement; edges(query_id, from_id, to_id) count both ways. One join a step, on (query_id, node), from a table that
-    the step before wrote; it ends when a step reaches nothing new."""
+    statement; edges(query_id, from_id, to_id) count both ways. One join a step, on (query_id, node), between written
+    tables: a step's new nodes border on the step before, so they are new if that step and the one before it lack them,
+    and no step reads or writes more than its own nodes. It ends when a step reaches nothing new."""
     both = edges.select("query_id", F.col("from_id").alias("node"), F.col("to_id").alias("next")).unionByName(edges.select("query_id", F.col("to_id").alias("node"), F.col("from_id").alias("next")))
     both = cut(both.distinct(), "neighbours")
-    reached = cut(seeds.select("query_id", "node").distinct().withColumn("distance", F.lit(0)), "reached")
-    for step in range(1, depth + 1):
-        edge = reached.where(F.col("distance") == step - 1).join(both, ["query_id", "node"]).select("query_id", F.col("next").alias("node")).distinct()
-        fresh = edge.join(reached, ["query_id", "node"], "left_anti").withColumn("distance", F.lit(step))
-        reached = cut(reached.unionByName(fresh), "reached")
-        if not reached.where(F.col("distance") == step).limit(1).count():
+    levels = [cut(seeds.select("query_id", "node").distinct(), "reached")]
+    for _ in range(depth):
+        fresh = levels[-1].join(both, ["query_id", "node"]).select("query_id", F.col("next").alias("node")).distinct()
+        for known in levels[-2:]:
+            fresh = fresh.join(known, ["query_id", "node"], "left_anti")
+        fresh = cut(fresh, "reached")
+        if fresh.isEmpty():
             break
+        levels.append(fresh)
+    reached = reduce(DataFrame.unionByName, [x.withColumn("distance", F.lit(i)) for i, x in enumerate(levels)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node"))
     return reached.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
 

@@ -140,7 +140,7 @@ def queries(edges: str) -> dict[str, str]:
         "decision_focus": f"""{w.replace('WITH s AS', 'WITH RECURSIVE s AS', 1)}, sd AS (SELECT query_id, 'result-0' AS node FROM st UNION SELECT query_id, node FROM fd WHERE severity IN ('high', 'medium') AND node <> ''), nr AS {near},
             r(query_id, node, distance) AS (SELECT query_id, node, 0 FROM sd UNION SELECT nr.query_id, nr.other, r.distance + 1 FROM r JOIN nr ON nr.query_id = r.query_id AND nr.node = r.node WHERE r.distance < 10)
             SELECT query_id, node, CAST(min(distance) AS INT) AS distance FROM r GROUP BY ALL""",
-        "stage_routes": f"{w} SELECT query_id, 0 AS route, 1 AS nodes, 1 AS from_line, 1 AS to_line FROM st WHERE template = 5",
+        "stage_routes": f"{w} SELECT query_id, 0 AS route, CAST(1 AS BIGINT) AS nodes, 1 AS from_line, 1 AS to_line FROM st WHERE template = 5",
         "query_lens": f"{w} SELECT ln.query_id, ln.line, ln.text, nd.node AS node_id, nd.kind, nd.severity, CAST(row_number() OVER (PARTITION BY ln.query_id, ln.line ORDER BY nd.node) AS INT) AS rank FROM ln JOIN nd USING (query_id) WHERE nd.kind NOT IN ('result', 'limit')",
         "review_lens_rows": f"""{w} SELECT ln.query_id, line, 1 AS raw_start, 1 AS raw_end, ln.text, ln.node, scope, coalesce(scope <> lag(scope) OVER (PARTITION BY ln.query_id ORDER BY line), true) AS opens, coalesce(nd.severity, 'info') AS severity, coalesce(d.title, '') AS diagnostic
             FROM ln LEFT JOIN nd ON nd.query_id = ln.query_id AND nd.node = ln.node LEFT JOIN (SELECT query_id, node, min_by(title, pos) AS title FROM fd GROUP BY ALL) d ON d.query_id = ln.query_id AND d.node = ln.node AND ln.node <> ''""",

@@ -5,10 +5,12 @@ blocks of at most BLOCK vectors; a block is one row holding its forward index (i
 (dimension), the largest and smallest weight. For a query q a block's bound is the sum over terms of the larger of
 q_d * max_d and q_d * min_d. Queries are cut into blocks of QUERIES in the same way.
 
-Round one scores each query against the FIRST blocks of the largest bounds, which gives its k-th best score so far.
-Round two scores the blocks whose bound is not below that: a block that is skipped can't hold a better or equal score,
-so the result is exact, ties included. Bounds come from the table of block summaries, a few numbers for each BLOCK
-vectors; it is read in slices of SLICE blocks at a time, so no task holds more. Scores are products of integer
+A query walks the blocks of a slice (SLICE blocks) in descending order of its bounds, in rounds: the FIRST best blocks, then
+GROWTH times as many each round, as long as bounds reach the k-th best score that all rounds before have found. As bounds
+descend, the walk ends where none does: a block that is left out can't hold a better or equal score, so the result is
+exact, ties included, after at most 1 + log(SLICE / FIRST) / log(GROWTH) rounds whatever the size of the table. Bounds
+come from the table of block summaries, a few numbers for each BLOCK vectors; no task holds more than a slice of it.
+Scores are products of integer
 matrices, in doubles while every sum stays below 2**53, in 64-bit integers below 2**62 and in Python's integers beyond.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part; a component or a score that is
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import clashing, cut
 
-BLOCK, QUERIES, FIRST, SLICE = 2048, 512, 2, 4096
+BLOCK, QUERIES, FIRST, GROWTH, SLICE = 2048, 512, 2, 8, 4096
 _LEAST = int(np.iinfo(np.int64).min)
 _BLOCK_ROW = "block long, dim int, n int, ids binary, matrix binary, hi binary, lo binary"
 
@@ -106,8 +108,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     summaries = cut(summaries.groupBy("dim", F.pmod(F.xxhash64("block"), F.col("of")).alias("slice")).agg(F.collect_list(F.struct("block", "hi", "lo")).alias("s")), "summaries")
     task = asked.join(summaries, "dim")
 
-    def planned(kth: bool):
-        """(block, asked, rows of the query block): the FIRST best blocks, or those whose bound reaches the k-th score."""
+    def planned(begin: int, end: int):
+        """(block, asked, rows of the query block): a query's blocks from place begin to end in order of bounds, those only
+        whose bound reaches its k-th score."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -117,16 +120,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
                     hi = np.vstack([_unpack(x["hi"], r.dim, 1) for x in r.s])
                     lo = np.vstack([_unpack(x["lo"], r.dim, 1) for x in r.s])
                     bound = bounds(q, hi, lo)
-                    if kth:
+                    place = np.argsort(-bound, axis=1, kind="stable")[:, begin:end]
+                    want = np.zeros(bound.shape, bool)
+                    np.put_along_axis(want, place, True, axis=1)
+                    if r.kth is not None:
                         need = np.frombuffer(r.kth, np.int64)[:, None]
-                        want = (bound >= need) | (need == _LEAST)
-                        done = np.frombuffer(r.done, np.int64).reshape(len(q), -1)
-                        for j in range(done.shape[1]):
-                            want &= block[None, :] != done[:, j : j + 1]
-                    else:
-                        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
-                        want = np.zeros(bound.shape, bool)
-                        np.put_along_axis(want, best, True, axis=1)
+                        want &= (bound >= need) | (need == _LEAST)
                     for j in np.flatnonzero(want.any(0)):
                         at = np.flatnonzero(want[:, j])
                         yield pd.DataFrame({"block": [block[j]], "asked": [r.asked], "rows": [at.astype(np.int32).tobytes()], "qids": [np.frombuffer(r.qids, np.int64)[at].tobytes()], "q": [q[at].tobytes()]})
@@ -160,35 +159,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         return plan.join(blocks.select("block", "dim", "ids", "matrix"), "block").mapInPandas(run, "asked long, row int, query_id long, vec_id long, score long")
 
     one = Window.partitionBy("asked", "row").orderBy(F.desc("score"), "vec_id")
-    # the FIRST best blocks of each slice, then of all slices
-    opening = cut(task.mapInPandas(planned(False), plan_row), "opening")
-    first = cut(scored(opening).withColumn("rank", F.row_number().over(one)).where(F.col("rank") <= k).drop("rank"), "first")
-    kth = first.groupBy("asked", "row").agg(F.min("score").alias("low"), F.count("*").alias("found"))
-
-    def per_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k-th score of each query of a block; the least of all where fewer are known."""
         for b in batches:
             for r in b.itertuples(index=False):
-                n = len(r.qids) // 8
-                low = np.full(n, _LEAST, np.int64)
+                low = np.full(len(r.qids) // 8, _LEAST, np.int64)
                 for x in r.known if r.known is not None else ():
                     if x["found"] >= k:
                         low[x["row"]] = x["low"]
-                tried: list[list[int]] = [[] for _ in range(n)]
-                for x in r.tried if r.tried is not None else ():
-                    for i in np.frombuffer(x["rows"], np.int32):
-                        tried[i].append(x["block"])
-                wide = max(map(len, tried), default=0)
-                done = np.full((n, wide), -1, np.int64)
-                for i, t in enumerate(tried):
-                    done[i, : len(t)] = t
-                yield pd.DataFrame({"asked": [r.asked], "kth": [low.tobytes()], "done": [done.tobytes()]})
-
-    known = kth.groupBy("asked").agg(F.collect_list(F.struct("row", "low", "found")).alias("known"))  # QUERIES entries at most
-    tried = opening.groupBy("asked").agg(F.collect_list(F.struct("block", "rows")).alias("tried"))
-    state = asked.select("asked", "qids").join(known, "asked", "left").join(tried, "asked", "left").mapInPandas(per_block, "asked long, kth binary, done binary")
-    second = scored(task.join(state, "asked").mapInPandas(planned(True), plan_row))
-    last = first.unionByName(second).withColumn("rank", F.row_number().over(one)).where(F.col("rank") <= k)
-    return last.select("query_id", "rank", "vec_id", "score")
+                yield pd.DataFrame({"asked": [r.asked], "kth": [low.tobytes()]})
+
+    longest = summaries.agg(F.max(F.size("s"))).first()[0] or 0
+    best, state = None, asked.select("asked", F.lit(None).cast("binary").alias("kth"))
+    begin, width = 0, FIRST
+    while begin < longest:
+        plan = cut(task.join(state, "asked").mapInPandas(planned(begin, begin + width), plan_row), "plan")
+        if plan.isEmpty():
+            break
+        found = scored(plan) if best is None else best.unionByName(scored(plan))
+        best = cut(found.withColumn("rank", F.row_number().over(one)).where(F.col("rank") <= k).drop("rank"), "best")
+        kth = best.groupBy("asked", "row").agg(F.min("score").alias("low"), F.count("*").alias("found"))
+        known = kth.groupBy("asked").agg(F.collect_list(F.struct("row", "low", "found")).alias("known"))  # QUERIES entries at most
+        state = asked.select("asked", "qids").join(known, "asked", "left").mapInPandas(lowest, "asked long, kth binary")
+        begin, width = begin + width, width * GROWTH
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", F.row_number().over(one).alias("rank"), "vec_id", "score")
 
 
 SQL = """

@@ -55,6 +55,30 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_a_walk_ends_where_bounds_fall_below_the_kth(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in np.abs(rng.normal(0.5, 0.1, 8)) / (1 + i // 50)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 1000, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    planned, cut = [], topk.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name == "plan":
+            planned.append(sum(len(r["rows"]) // 4 for r in out.collect()))
+        return out
+
+    for at, value in {"BLOCK": 10, "QUERIES": 7, "FIRST": 1, "GROWTH": 2, "cut": counted}.items():
+        monkeypatch.setattr(topk, at, value)
+    assert sorted(map(tuple, topk.top_k(df, F.col("id") % 50 == 0).collect())) == sorted(want)
+    # 20 queries and 100 blocks or more: the walk scores a small part of them, and stops after a round without any
+    assert planned[0] == 20 and 20 <= sum(planned) < 400 and planned[-1] < 20 * 2 ** (len(planned) - 1)
+
+
 def test_products_stay_exact():
     big = np.array([[2**26, -(2**26)] * 4], np.int32)
     assert topk.product(big, big)[0, 0] == 8 * 2**52

@@ -253,6 +253,7 @@ QUERIES |= {
     "review_node_table": lambda s, d: section(generated(s, d, "orders"), "node_table").select("query_id", "node", "kind", "severity", "sources", "metrics", "grain", "lines", *[F.array_join(F.array_sort(x), "|").alias(x) for x in ("before", "after")]),
     "review_audience": _listed("audience", "reader", "label"),
 }
+QUERIES |= {f"{name}_cases": lambda s, d, name=name: cases.shaped(s, d, name) for name in cases.SHAPED}
 QUERIES["review_findings"] = _orders("findings", "code", "severity", "title")
 QUERIES["review_diagnosis"] = _orders("diagnosis", "score", "risk_level", "high", "medium", "low", "info", "max_rows", "final_rows")
 QUERIES["review_statements"] = _orders("statements", "statement_type", "projections", "relations", "joins", "predicates", "group_items", "order_items", "ctes")
@@ -340,6 +341,7 @@ SQL: dict[str, str] = {
     "edit_history": "SELECT key, ts, snapshot, CAST(b AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, snapshot DESC) AS b FROM (SELECT user_id AS key, ts, event_type || ':' || CAST(event_id AS VARCHAR) AS snapshot FROM events)) WHERE b <= 80",
 }
 SQL |= expected.queries(_PAIRS)
+SQL |= {f"{name}_cases": cases.shaped_sql(name) for name in cases.SHAPED}
 SQL["rule_cases"], SQL["dialect_cases"] = cases.expected(cases.REVIEWED), cases.expected(cases.DIALECTED)
 #: Findings of the demo, by hand, in order.
 SQL["demo_findings"] = "SELECT CAST(p AS INT) AS pos, c AS code, s AS severity FROM (VALUES (0, 'S4', 'high'), (1, 'S9', 'medium'), (2, 'S5', 'high'), (3, 'P3', 'medium'), (4, 'P3', 'medium'), (5, 'J1', 'high'), (6, 'W6', 'info')) v(p, c, s)"

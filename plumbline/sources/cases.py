@@ -86,3 +86,69 @@ def expected(cases: tuple[tuple[str, str], ...]) -> str:
     """SQL: query_id and code for every supplier, by the codes given with its case."""
     rows = ", ".join(f"({i}, '{code}')" for i, (_, codes) in enumerate(cases) for code in codes.split())
     return f"SELECT s_suppkey AS query_id, code FROM supplier JOIN (VALUES {rows}) e(n, code) ON s_suppkey % {len(cases)} = n"
+
+
+#: By section: its columns, and statements (notes for the catalog) with their rows, derived by hand.
+SHAPED: dict[str, tuple[tuple[str, ...], tuple[tuple[str, tuple[tuple, ...]], ...]]] = {
+    "joins": (
+        ("pos", "type", "source", "condition_kind", "condition", "implicit"),
+        (
+            ("SELECT a.x FROM a", ()),
+            ("SELECT a.x FROM a INNER JOIN b ON a.x = b.x", ((0, "inner", "b", "on", "a.x = b.x", False),)),
+            ("SELECT a.x FROM a RIGHT OUTER JOIN b USING (x)", ((0, "right", "b", "using", "(x)", False),)),
+            ("SELECT a.x FROM a FULL JOIN b ON a.x = b.x", ((0, "full", "b", "on", "a.x = b.x", False),)),
+            ("SELECT a.x FROM a CROSS JOIN b", ((0, "cross", "b", "", "", False),)),
+            ("SELECT a.x FROM a NATURAL JOIN b", ((0, "natural", "b", "", "", False),)),
+            ("SELECT a.x FROM a, b", ((0, "cross", "b", "", "", True),)),
+            ("SELECT a.x FROM a LEFT JOIN b ON a.x = b.x JOIN s.c AS k ON k.y > b.y", ((0, "left", "b", "on", "a.x = b.x", False), (1, "inner", "s.c", "on", "k.y > b.y", False))),
+            ("SELECT a.x FROM a JOIN (SELECT b.x FROM b JOIN c ON b.y = c.y) d ON d.x = a.x", ((0, "inner", "d", "on", "d.x = a.x", False),)),
+        ),
+    ),
+    "statements": (
+        ("statement_type", "unsupported", "is_distinct", "ctes", "projections", "relations", "joins", "predicates", "having", "group_items", "order_items", "limit_text", "offset_text"),
+        (
+            ("", (("empty", True, False, 0, 0, 0, 0, 0, 0, 0, 0, "", ""),)),
+            ("INSERT INTO t VALUES (1)", (("insert", True, False, 0, 0, 0, 0, 0, 0, 0, 0, "", ""),)),
+            ("SELECT DISTINCT a FROM t LIMIT 3 OFFSET 4", (("select", False, True, 0, 1, 1, 0, 0, 0, 0, 0, "3", "4"),)),
+            ("WITH x AS (SELECT 1 AS a), y AS (SELECT 2 AS b) SELECT x.a FROM x, y", (("with", False, False, 2, 1, 2, 1, 0, 0, 0, 0, "", ""),)),
+            ("SELECT a, f(b, c) FROM t WHERE a = 1 AND b BETWEEN 2 AND 3 AND (c = 1 OR c = 2) ORDER BY a DESC, b", (("select", False, False, 0, 2, 1, 0, 3, 0, 0, 2, "", ""),)),
+            ("SELECT a, COUNT(*) AS n FROM t GROUP BY a, b HAVING COUNT(*) > 1 AND SUM(b) < 9", (("select", False, False, 0, 2, 1, 0, 0, 2, 2, 0, "", ""),)),
+        ),
+    ),
+    "tokens": (
+        ("pos", "type", "value", "normalized", "line", "col", "depth"),
+        (
+            ("a::int <> b", ((0, "word", "a", "a", 1, 1, 0), (1, "operator", "::", "::", 1, 2, 0), (2, "word", "int", "int", 1, 4, 0), (3, "operator", "<>", "<>", 1, 8, 0), (4, "word", "b", "b", 1, 11, 0))),
+            ("F(x) -- c\n /* z */ >= 1.5", ((0, "word", "F", "f", 1, 1, 0), (1, "symbol", "(", "(", 1, 2, 1), (2, "word", "x", "x", 1, 3, 1), (3, "symbol", ")", ")", 1, 4, 0), (4, "operator", ">=", ">=", 2, 10, 0), (5, "number", "1.5", "1.5", 2, 13, 0))),
+            ("'it''s', \"Q\".x", ((0, "string", "'it''s'", "'it''s'", 1, 1, 0), (1, "symbol", ",", ",", 1, 8, 0), (2, "identifier", '"Q"', '"Q"', 1, 10, 0), (3, "symbol", ".", ".", 1, 13, 0), (4, "word", "x", "x", 1, 14, 0))),
+        ),
+    ),
+    "catalog_columns": (
+        ("table_name", "row_count", "column_name", "type", "nullable", "primary_key", "is_unique", "sensitive"),
+        (
+            ("CREATE TABLE a (id bigint PRIMARY KEY, b_id int REFERENCES b(id), label varchar(20) NOT NULL UNIQUE);\nCREATE INDEX i ON a (b_id);\n-- sensitive: a.label", (("a", None, "id", "bigint", False, True, False, False), ("a", None, "b_id", "int", True, False, False, False), ("a", None, "label", "varchar(20)", False, False, True, True))),
+            ("CREATE TABLE IF NOT EXISTS s.b (id int, v text, PRIMARY KEY (id), FOREIGN KEY (v) REFERENCES a(id));\n-- rows: s.b=2_500", (("s.b", 2500.0, "id", "int", True, True, False, False), ("s.b", 2500.0, "v", "text", True, False, False, False))),
+            ("CREATE TABLE c (email text, n int);\nsensitive: n", (("c", None, "email", "text", True, False, False, True), ("c", None, "n", "int", True, False, False, True))),
+            ("no table here", ()),
+        ),
+    ),
+}
+
+
+def shaped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a section for its cases, one case for each supplier."""
+    from plumbline.operators.sections import section
+
+    columns, rows = SHAPED[name]
+    texts = statements(spark, sf_dir, tuple((text, "") for text, _ in rows), "")
+    if name == "catalog_columns":
+        texts = texts.select("query_id", F.lit("").alias("sql"), F.col("sql").alias("schema_text"))
+    return section(texts, name).select("query_id", *columns)
+
+
+def shaped_sql(name: str) -> str:
+    columns, rows = SHAPED[name]
+    said = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    values = ", ".join("(" + ", ".join([str(i), *map(said, row)]) + ")" for i, (_, some) in enumerate(rows) for row in some)
+    names = ", ".join(f'"{c}"' for c in columns)
+    return f"SELECT s_suppkey AS query_id, {names} FROM supplier JOIN (VALUES {values}) e(n, {names}) ON s_suppkey % {len(rows)} = n"

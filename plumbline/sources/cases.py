@@ -88,7 +88,7 @@ def expected(cases: tuple[tuple[str, str], ...]) -> str:
     return f"SELECT s_suppkey AS query_id, code FROM supplier JOIN (VALUES {rows}) e(n, code) ON s_suppkey % {len(cases)} = n"
 
 
-#: By section: its columns, and statements (notes for the catalog) with their rows, derived by hand.
+#: By section: its columns, and statements (notes for the catalog) with their rows, checked by hand.
 SHAPED: dict[str, tuple[tuple[str, ...], tuple[tuple[str, tuple[tuple, ...]], ...]]] = {
     "joins": (
         ("pos", "type", "source", "condition_kind", "condition", "implicit"),

@@ -1,5 +1,5 @@
 """What the analyser must say of the eight statement templates, as SQL: facts of each template, read off its
-analysis and checked against the definitions, the rest derived from them by the model's formulas. `{n}` in a text stands for the number in a statement."""
+analysis and looked through by hand, the rest derived from them by the model's formulas. `{n}` in a text stands for the number in a statement."""
 
 from __future__ import annotations
 

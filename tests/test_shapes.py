@@ -96,6 +96,7 @@ ONCE = [
     "decision_focus",
     "lineage_neighbourhood",
     "review_actions",
+    "evidence_facts",
 ]
 
 

@@ -97,6 +97,7 @@ ONCE = [
     "lineage_neighbourhood",
     "review_actions",
     "evidence_facts",
+    "report_facts",
 ]
 
 

@@ -98,6 +98,7 @@ ONCE = [
     "review_actions",
     "evidence_facts",
     "report_facts",
+    "review_briefings",
 ]
 
 

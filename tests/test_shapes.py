@@ -99,6 +99,7 @@ ONCE = [
     "evidence_facts",
     "report_facts",
     "review_briefings",
+    "review_evidence_rows",
 ]
 
 

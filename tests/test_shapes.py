@@ -100,6 +100,7 @@ ONCE = [
     "report_facts",
     "review_briefings",
     "review_evidence_rows",
+    "review_highlights",
 ]
 
 

@@ -101,6 +101,7 @@ ONCE = [
     "review_briefings",
     "review_evidence_rows",
     "review_highlights",
+    "review_inspect_board",
 ]
 
 

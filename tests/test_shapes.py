@@ -102,6 +102,7 @@ ONCE = [
     "review_evidence_rows",
     "review_highlights",
     "review_inspect_board",
+    "review_lens_rows",
 ]
 
 

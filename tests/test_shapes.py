@@ -148,3 +148,12 @@ def test_keys_of_records_are_put_in_order_once(monkeypatch):
         exports.canonical({"a": [1, {"b": float("nan")}]})
     astral = {"\U0001f600": 1, "ａ": 2}
     assert list(exports.canonical(astral)) == sorted(astral, reverse=True) and identity.digest(astral) == identity.fnv('{"\U0001f600":1,"ａ":2}')
+
+
+def test_both_files_come_from_one_document(monkeypatch):
+    n = []
+    for f in ("document", "problems"):
+        whole = getattr(exports, f)
+        monkeypatch.setattr(exports, f, lambda *x, f=f, whole=whole: n.append(f) or whole(*x))
+    assert [ok for _, ok, *_ in SECTIONS["export_files"][1](TEXTS[0], NOTES)] == [True, True]
+    assert sorted(n) == ["document", "problems"]

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import shapes
 from plumbline.operators.sections import SECTIONS, section
@@ -41,7 +42,7 @@ def sent(spark, monkeypatch, name, texts):
     return out, len(e.rows), len({h[0] for h in e.holes}), columns
 
 
-@pytest.mark.parametrize("name", ["evidence_facts"])
+@pytest.mark.parametrize("name", ["evidence_facts", "report_facts"])
 def test_rows_that_statements_share_are_sent_once(spark, monkeypatch, name):
     out, rows, own, columns = sent(spark, monkeypatch, name, [f"SELECT c.email FROM customer c WHERE lower(c.c_name) = 'x{i}'" for i in range(20000, 22000)])
     assert columns == ["query_id", "sql"] and own < rows + (rows == 1)
@@ -52,3 +53,16 @@ def test_what_is_not_asked_for_is_not_sent(spark, monkeypatch):
     asked = ("Handoff", "Exposure", "Grain", "Motion", "Evidence", "Diagnostic", "Path")
     out = sent(spark, monkeypatch, "evidence_facts", [FORMS[0].format(n=i, m=4711) for i in range(8000, 8100)])[0]
     assert {row["_3"] for b in out for rows in b.column("_rows").to_pylist() for row in rows or ()} <= set(asked)
+
+
+def test_facts_of_reports_are_what_spark_reads_off_them(spark):
+    texts = [x for x in TEXTS if x][::5] + ["SELECT a - [b\rFROM t\u0085- c", "SELECT a -- ## Flow\n- x", "## Findings\n- [\n- [", "Sources:  x"]
+    s = spark.createDataFrame(list(enumerate(texts)), "query_id long, sql string").withColumn("schema_text", F.lit(NOTES))
+    said = lambda p: F.regexp_extract("text", p, 1)
+    under = lambda title, mark: F.regexp_count(F.regexp_extract("text", rf"(?s)## {title}\n(.*?)(\n\n|$)", 1), F.lit(mark))
+    by_spark = lambda r: r.select(said("Risk level: (.*)"), said("Risk score: ([0-9]+)/100"), said("Complexity: ([0-9]+)/100"), said("Final row estimate: (.*)"), said("Sources: (.*)"), under("Findings", r"(?m)^- \["), under("Flow", "(?m)^- "))
+    reports = section(s, "reports").select("text").collect()
+    extra = ["## Flow\n- a\r- b\r\n- c - d\u0085- e\n", "## Findings\n- [\n- [\r\n", "Risk level: a\rb\n## Flow\n", "## Findings\n- [x\n\n- [y", "", "Sources: a b"]
+    rows = [(r["text"],) for r in reports] + [(x,) for x in extra]
+    want = [tuple(r) for r in by_spark(spark.createDataFrame(rows, "text string").coalesce(1)).collect()]
+    assert [review._report_facts(r) for r in rows] == want

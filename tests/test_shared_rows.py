@@ -42,7 +42,7 @@ def sent(spark, monkeypatch, name, texts):
     return out, len(e.rows), len({h[0] for h in e.holes}), columns
 
 
-@pytest.mark.parametrize("name", ["evidence_facts", "report_facts", "review_briefings", "review_evidence_rows", "review_highlights", "review_inspect_board"])
+@pytest.mark.parametrize("name", ["evidence_facts", "report_facts", "review_briefings", "review_evidence_rows", "review_highlights", "review_inspect_board", "review_lens_rows"])
 def test_rows_that_statements_share_are_sent_once(spark, monkeypatch, name):
     out, rows, own, columns = sent(spark, monkeypatch, name, [f"SELECT c.email FROM customer c WHERE lower(c.c_name) = 'x{i}'" for i in range(20000, 22000)])
     assert columns == ["query_id", "sql"] and own < rows + (rows == 1)
